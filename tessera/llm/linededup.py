@@ -58,7 +58,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     found = written(boilerplate(lines, min_sites), "boilerplate")
     cut = lines.join(found, ["h", "c"]).where("doc_id is null or first is null or doc_id <> first")
     cut = written(cut.groupBy("row").agg(F.collect_set("pos").alias(f"{OWN}cut")).withColumnRenamed("row", f"{OWN}row"), "cut")
-    out = docs.withColumn(f"{OWN}key", _rowkey()).join(cut, F.col(f"{OWN}key") == F.col(f"{OWN}row"), "left")
+    # a merge join at every size: the documents that lose lines grow with the corpus, so they are never broadcast
+    out = docs.withColumn(f"{OWN}key", _rowkey()).join(cut.hint("merge"), F.col(f"{OWN}key") == F.col(f"{OWN}row"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(f"{OWN}cut"), i)), "\n")
     columns = [c for c in docs.columns if c != "lines_removed"]
     text = F.when(F.col(f"{OWN}cut").isNull(), F.col("text")).otherwise(left)
