@@ -164,7 +164,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     def search(batch: pd.DataFrame) -> pd.DataFrame:
         ask, row = batch[batch["q"].notna()], batch[batch["q"].isna()]
         if not len(ask) or not len(row):
-            return pd.DataFrame({"q": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         v, many = _matrix(row["v"]), row["ids"].to_numpy()
         out = []
         for at in range(0, len(ask), 512):

@@ -142,7 +142,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 held[names[i]] += np.bincount(h, minlength=BUCKETS)
         for x, c in held.items():
             at = np.flatnonzero(c)
-            yield pd.DataFrame({"lang": x, "bucket": at, "n": c[at]})
+            if len(at):
+                yield pd.DataFrame({"lang": x, "bucket": at, "n": c[at]})
 
     share_of = np.full((len(langs), BUCKETS), 0.05)
     for r in part.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
