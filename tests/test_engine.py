@@ -1,0 +1,60 @@
+import pytest
+
+from tessera import errors
+from tessera.engine import Engine
+
+
+@pytest.fixture
+def db(spark, tmp_path):
+    return Engine(spark, f"file://{tmp_path}")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_ddl_dml(db):
+    db.sql("CREATE TYPE mood AS ENUM ('happy', 'sad')")
+    db.sql("CREATE TABLE users (id SERIAL, name TEXT NOT NULL, email VARCHAR(20) UNIQUE, m mood)")
+    db.sql("CREATE TABLE orders (id INTEGER PRIMARY KEY, user_id INTEGER NOT NULL REFERENCES users(id), amount NUMERIC(10,2))")
+    assert db.sql("INSERT INTO users (name, email) VALUES ('Alice', 'a@x'), ('Bob', NULL)") == "INSERT 2"
+    db.sql("INSERT INTO users (name, email, m) VALUES ('Cy, (x)', 'c@x', 'sad')")
+    db.sql("INSERT INTO orders VALUES (1, 1, 10.50), (2, 3, 7)")
+    assert rows(db.sql("SELECT name, amount FROM users JOIN orders ON users.id = user_id WHERE amount > 8"))[0][0] == "Alice"
+    for bad, error in (("INSERT INTO users (name, email) VALUES ('D', 'a@x')", errors.UniqueViolation), ("INSERT INTO users (name) VALUES (NULL)", errors.NotNullViolation), ("INSERT INTO orders VALUES (3, 99, 1)", errors.ForeignKeyViolation), ("INSERT INTO orders VALUES (1)", errors.ColumnCountMismatch), ("INSERT INTO users (name, m) VALUES ('E', 'odd')", errors.TypeMismatch), ("DROP TABLE nope", errors.TableNotFound), ("UPDATE users SET name = NULL", errors.NotNullViolation)):
+        with pytest.raises(error):
+            db.sql(bad)
+    assert db.sql("UPDATE users SET name = 'Bo' WHERE id = 2") == "UPDATE 1"
+    assert db.sql("DELETE FROM orders WHERE amount < 8") == "DELETE 1"
+    assert [r[1] for r in rows(db.table("users"))] == ["Alice", "Bo", "Cy, (x)"]
+    db.sql("CREATE VIEW names AS SELECT name FROM users")
+    assert len(rows(db.sql("SELECT * FROM names WHERE name LIKE 'B%'"))) == 1
+    db.sql("ALTER TABLE users ADD COLUMN age INTEGER")
+    db.sql("ALTER TABLE users RENAME COLUMN age TO years")
+    assert db.table("users").columns[-1] == "years"
+    db.sql("ALTER TABLE users DROP COLUMN years")
+    assert rows(db.sql("SHOW TABLES")) == [("orders",), ("users",)]
+    assert rows(db.sql("SELECT relname FROM pg_catalog.pg_class WHERE relkind = 'v'")) == [("names",)]
+    assert "Scan" in db.sql("EXPLAIN SELECT * FROM users")
+
+
+def test_transactions_copy_vacuum(db, tmp_path):
+    db.sql("CREATE TABLE t (id INTEGER, v TEXT)")
+    db.sql("INSERT INTO t VALUES (1, 'a')")
+    db.sql("BEGIN")
+    db.sql("INSERT INTO t VALUES (2, 'b')")
+    assert db.table("t").count() == 2
+    db.sql("ROLLBACK")
+    assert db.table("t").count() == 1
+    db.sql("BEGIN TRANSACTION")
+    db.sql("UPDATE t SET v = 'z'")
+    db.sql("COMMIT")
+    assert rows(db.table("t")) == [(1, "z")]
+    db.sql(f"COPY t TO '{tmp_path}/out'")
+    assert db.sql(f"COPY t FROM '{tmp_path}/out'") == "COPY 1"
+    assert db.table("t").count() == 2
+    assert db.sql("VACUUM").startswith("VACUUM complete") and db.table("t").count() == 2
+    db.sql("CREATE UNIQUE INDEX i ON t USING HASH (id, v)") if db.table("t").distinct().count() == 2 else None
+    db.sql("DROP TABLE t")
+    db.sql("CREATE TABLE t (id INTEGER)")
+    assert db.table("t").count() == 0
