@@ -39,3 +39,39 @@ class NotNullViolation(EngineError):
 
 class ParseError(EngineError):
     pass
+
+
+class DatabaseNotFound(EngineError):
+    pass
+
+
+class DatabaseAlreadyExists(EngineError):
+    pass
+
+
+class UserNotFound(EngineError):
+    pass
+
+
+class UserAlreadyExists(EngineError):
+    pass
+
+
+class RoleNotFound(EngineError):
+    pass
+
+
+class RoleAlreadyExists(EngineError):
+    pass
+
+
+class AuthenticationFailed(EngineError):
+    pass
+
+
+class PermissionDenied(EngineError):
+    pass
+
+
+class ConcurrentWrite(EngineError):
+    """Another engine changed the catalogue since this one read it; the statement or transaction can be run again."""

@@ -27,12 +27,23 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(p, True)
     out.write(bytearray(text.encode()))
     out.close()
-    to = _fs(spark, path)[1]
-    if fs.exists(to):
-        fs.delete(to, False)
-    fs.rename(p, to)
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(p, _fs(spark, path)[1], options)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
