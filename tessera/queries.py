@@ -95,6 +95,16 @@ SQL = {
     "union_distinct": "select n_nationkey as k from {nation} union select c_nationkey from {customer}",
     "intersect_distinct": "select o_custkey as k from {orders} intersect select c_custkey from {customer} where c_mktsegment = 'BUILDING'",
     "except_distinct": "select o_orderkey as k from {orders} except select l_orderkey from {lineitem}",
+    "join_limit": "select o_orderkey, l_partkey from {orders} join {lineitem} on o_orderkey = l_orderkey order by o_orderkey, l_partkey, l_suppkey limit 30",
+    "group_where": "select o_orderpriority, count(*) as n from {orders} where o_orderstatus = 'O' group by o_orderpriority",
+    "group_distinct": "select distinct n from (select o_custkey, count(*) as n from {orders} group by o_custkey) x",
+    "agg_multi": "select count(*) as n, count(nullif(p_size, 7)) as m, sum(p_size) as total, min(p_name) as first, max(p_retailprice) as top from {part}",
+    "distinct_limit": "select distinct p_brand from {part} order by p_brand limit 5 offset 3",
+    "win_no_partition": "select n_name, row_number() over (order by n_name) as rn from {nation}",
+    "win_top_per_group": "select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from {orders}) x where rn <= 3",
+    "sort_nulls": "select o_orderkey, nullif(o_orderstatus, 'P') as s from {orders} order by nullif(o_orderstatus, 'P') desc nulls last, o_orderkey limit 40",
+    "filter_like_backslash": "select n_name from {nation} where n_name not like '%_A%'",
+    "intersect_chain": "select c_nationkey as k from {customer} intersect select s_nationkey from {supplier} union all select r_regionkey from {region}",
     "set_precedence": "select n_nationkey as k from {nation} union select s_nationkey from {supplier} intersect select c_nationkey from {customer} where c_custkey < 50",
 }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -47,3 +50,12 @@ def size(spark: SparkSession, path: str) -> int:
 def names(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
     return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def workspace(spark: SparkSession) -> str:
+    """A new folder below the one that all executors share; below a local one where spark.checkpoint.dir is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        shared = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/engine-{uuid.uuid4().hex}"
