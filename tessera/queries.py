@@ -75,13 +75,13 @@ SQL = {
     "join_where_order_limit": "select o_orderkey, c_name from {orders} join {customer} on o_custkey = c_custkey where o_totalprice > 100000 order by o_orderkey limit 25 offset 5",
     "agg_count_star": "select count(*) as count from {lineitem}",
     "agg_count_col": "select count(l_shipdate) as count from {lineitem}",
-    "agg_sum": "select sum(p_size) as total from {part}",
+    "agg_sum": "select cast(sum(p_size) as bigint) as total from {part}",
     "agg_avg": "select avg(p_size) as mean from {part}",
     "agg_min": "select min(l_extendedprice) as low from {lineitem}",
     "agg_max": "select max(l_extendedprice) as high from {lineitem}",
-    "agg_empty": "select count(*) as n, min(p_size) as low, sum(p_size) as total from {part} where p_size < 0",
+    "agg_empty": "select count(*) as n, min(p_size) as low, cast(sum(p_size) as bigint) as total from {part} where p_size < 0",
     "group_by_one": "select l_returnflag, count(*) as n, min(l_quantity) as low, max(l_quantity) as high, avg(l_quantity) as mean from {lineitem} group by l_returnflag",
-    "group_by_many": "select l_returnflag, l_linestatus, count(*) as n, sum(l_linenumber) as total from {lineitem} group by l_returnflag, l_linestatus",
+    "group_by_many": "select l_returnflag, l_linestatus, count(*) as n, cast(sum(l_linenumber) as bigint) as total from {lineitem} group by l_returnflag, l_linestatus",
     "group_order_limit": "select p_brand, count(*) as n from {part} group by p_brand order by n desc, p_brand limit 10 offset 2",
     "win_row_number": "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from {orders}",
     "win_rank": "select p_partkey, rank() over (partition by p_brand order by p_size) as rk from {part}",
@@ -98,7 +98,7 @@ SQL = {
     "join_limit": "select o_orderkey, l_partkey from {orders} join {lineitem} on o_orderkey = l_orderkey order by o_orderkey, l_partkey, l_suppkey limit 30",
     "group_where": "select o_orderpriority, count(*) as n from {orders} where o_orderstatus = 'O' group by o_orderpriority",
     "group_distinct": "select distinct n from (select o_custkey, count(*) as n from {orders} group by o_custkey) x",
-    "agg_multi": "select count(*) as n, count(nullif(p_size, 7)) as m, sum(p_size) as total, min(p_name) as first, max(p_retailprice) as top from {part}",
+    "agg_multi": "select count(*) as n, count(nullif(p_size, 7)) as m, cast(sum(p_size) as bigint) as total, min(p_name) as first, max(p_retailprice) as top from {part}",
     "distinct_limit": "select distinct p_brand from {part} order by p_brand limit 5 offset 3",
     "win_no_partition": "select n_name, row_number() over (order by n_name) as rn from {nation}",
     "win_top_per_group": "select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from {orders}) x where rn <= 3",
@@ -134,7 +134,7 @@ def join_multi_agg(spark, d):
     return j.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("total"))
 
 
-@query("select coalesce(sum(p_size), 0) as \"sum(p_size)\", coalesce(avg(p_size), 0) as \"avg(p_size)\" from part where p_size < 0")
+@query("select coalesce(cast(sum(p_size) as bigint), 0) as \"sum(p_size)\", coalesce(avg(p_size), 0) as \"avg(p_size)\" from part where p_size < 0")
 def compat_empty_sums(spark, d):
     return table(spark, d, "part").where("p_size < 0").agg(compat.sum_or_zero("p_size").alias("sum(p_size)"), compat.avg_or_zero("p_size").alias("avg(p_size)"))
 
