@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     # a merge join at every size: the documents that lose lines grow with the corpus, so they are never broadcast
     out = docs.withColumn(f"{OWN}key", _rowkey()).join(cut.hint("merge"), F.col(f"{OWN}key") == F.col(f"{OWN}row"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(f"{OWN}cut"), i)), "\n")
-    columns = [c for c in docs.columns if c != "lines_removed"]
+    columns = [c for c in docs.columns if c.lower() != "lines_removed"]
     text = F.when(F.col(f"{OWN}cut").isNull(), F.col("text")).otherwise(left)
     removed = F.coalesce(F.when(F.col(f"{OWN}cut").isNotNull(), F.size(f"{OWN}cut")), F.lit(0)).cast("long")
     return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], removed.alias("lines_removed"))
