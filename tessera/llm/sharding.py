@@ -6,7 +6,7 @@ into runs. A run covers a compact box of the metadata space, so a file's least a
 dimensions let a reader skip it.
 
 The order is total without sorting everything in one place: rows are counted by unit (a cell, or an equal part of a
-cell that holds many rows, dealt by a hash of doc_id), the units' offsets are added up over that small table, and rows
+cell that holds many rows, dealt by a hash of doc_id and text), the units' offsets are added up over that small table, and rows
 are numbered within units. Units are sized as a fixed share of the table, so no key gathers in one task.
 
 Only DataFrame functions are used. Law `rows`: shard sizes in rows differ by at most one. Law `bytes`: runs are cut at
@@ -74,8 +74,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, law: str = "rows") -> DataF
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     code = F.shiftleft(_step(F.col("lang")), 2 * BITS) + F.shiftleft(_step(F.col("source")), BITS) + F.least(F.lit(15), F.floor(F.log2(size.cast("double"))).cast("int"))
     curve = F.element_at(F.lit(curve_table(3)), code.cast("int") + 1)
-    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 7), 16, 10).cast("long")
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), curve.cast("int").alias("curve"), salt.alias("salt")), "sizes")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    # by the text as well, so that rows of one doc_id, or of none, are dealt over units too
+    salt = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), crc.cast("string")).cast("binary")), 1, 7), 16, 10).cast("long")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), curve.cast("int").alias("curve"), salt.alias("salt")), "sizes")
     cells = rows.groupBy("curve").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     cells = cells.select("curve", F.ceil(F.col("n") / F.least(F.lit(UNIT_ROWS), F.greatest(F.lit(1), F.floor(total / UNIT_SHARE)))).cast("long").alias("parts"))  # 4096 rows at most

@@ -125,6 +125,7 @@ def test_wrappers(spark):
 def test_line_dedup_odd(spark, odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "lines_removed"] and got.count() == 9
+    assert linededup.dedup_lines(odd.withColumn("LINES_REMOVED", F.lit("mine"))).columns == got.columns
     line = "this line stands on many sites"
     texts = [f"own words number {i} are here\n {line} \nend" for i in range(20)]
     rows = {r["doc_id"]: r for r in linededup.dedup_lines(docs_of(spark, texts)).collect()}
@@ -197,6 +198,10 @@ def test_hilbert(spark, odd, none):
             order = [r["curve"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
             assert order == sorted(order)
     assert sharding.hilbert_shards(none).count() == 0
+    # rows without a doc_id, in one cell of the curve, are dealt over its units
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.format_string("text %05d", "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    got = sharding.hilbert_shards(same).collect()
+    assert len({r["curve"] for r in got}) == 1 and sorted({r["shard"] for r in got}) == list(range(8)) and all(r["slot"] < 500 for r in got)
 
 
 def test_langid(spark, odd, none):
