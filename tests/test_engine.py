@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 
 from tessera import errors
+from tessera.__main__ import run
 from tessera.engine import Engine
 from tessera.plans import access
 from tessera.sources import dump, pgcopy
@@ -258,3 +259,10 @@ def test_dump_restore(db, spark, tmp_path, binary):
     with pytest.raises(errors.NotNullViolation):
         other.sql("INSERT INTO z (m) VALUES ('sad')")
     assert list(dump.statements("a 'x;--' b; -- c;\n d")) == ["a 'x;--' b", "d"]
+
+
+def test_prompt(db):
+    out = []
+    run(db, ["CREATE TABLE t (id INTEGER,", "v TEXT);", "INSERT INTO t VALUES (1, 'a;", "b');", "\\dt", "\\?", "SELECT id FROM t;", "SELECT nope FROM t;", "DROP TABLE x;", "\\q", "DROP TABLE t;"], out.append)
+    assert out[0] == "Table t created" and out[1] == "INSERT 1" and "t" in out[2] and "leave" in out[3] and "|1" in out[4]
+    assert out[5].startswith("AnalysisException") and out[6] == "TableNotFound: x" and len(out) == 7
