@@ -266,3 +266,20 @@ def test_prompt(db):
     run(db, ["CREATE TABLE t (id INTEGER,", "v TEXT);", "INSERT INTO t VALUES (1, 'a;", "b');", "\\dt", "\\?", "SELECT id FROM t;", "SELECT nope FROM t;", "DROP TABLE x;", "\\q", "DROP TABLE t;"], out.append)
     assert out[0] == "Table t created" and out[1] == "INSERT 1" and "t" in out[2] and "leave" in out[3] and "|1" in out[4]
     assert out[5].startswith("AnalysisException") and out[6] == "TableNotFound: x" and len(out) == 7
+
+
+def test_layout_by_indexes(db, spark):
+    db.sql("CREATE TABLE t (id INTEGER PRIMARY KEY, city TEXT, age INTEGER)")
+    db.sql("CREATE INDEX by_city ON t USING HASH (city)")
+    data = spark.range(1000).selectExpr("999 - id as id", "concat('c', id % 7) as city", "id % 90 as age").coalesce(1)
+    db.append("t", data)
+    stored = [c["stored"] for c in db._manifest()["tables"]["t"]["columns"]]
+    at = lambda: spark.read.parquet(f"{db.path}/data/{db._manifest()['tables']['t']['parts'][-1]['name']}")
+    assert [r[stored[0]] for r in at().select(stored[0]).collect()] == [*range(1000)]
+    db.sql("CREATE INDEX by_age ON t (age, id)")
+    db.append("t", data.selectExpr("id + 1000", "city", "age"))
+    got = [(r[0], r[1]) for r in at().select(stored[2], stored[0]).collect()]
+    assert got == sorted(got) and db.sql("SELECT * FROM t WHERE city = 'c3'").count() == 286
+    assert "PushedFilters: [IsNotNull" in db.sql("EXPLAIN SELECT * FROM t WHERE age = 3")
+    with pytest.raises(errors.UniqueViolation):
+        db.sql("INSERT INTO t VALUES (5, 'x', 1)")
