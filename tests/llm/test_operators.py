@@ -1,6 +1,7 @@
 """Brute force, exact round trips and held-out accuracy for the training-data operators, and their defined edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -236,3 +237,28 @@ def test_pipeline(spark, odd):
     assert decontaminate.contaminated(left, bench).count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SF).columns == odd.columns
+
+
+def _prose(r, n):
+    return " ".join(f"{r.choice('alpha beta gamma delta theta kappa'.split())}{r.randrange(90)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("pages", [1, 12])
+@pytest.mark.parametrize("site", [
+    '<body class="single has-sidebar"><div id="top"><a href=/>Home</a> <a href=/x>News</a></div><div class="layout with-sidebar"><div class="col-a">{article}</div><div class="sidebar-right"><p>{other}</p></div></div><div class=cookiebar>We use cookies</div>',
+    '<body><div class="hdr">Site name</div><article class="comment"><p>{other}</p></article><article class="post">{article}</article>',
+    '<body><div id=w><div class=c1><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div class=c2><section>{article}</section></div><div class=readercomments><div><p>{other}</p></div></div><form><p>Sign up</p></form></div>',
+    '<body><nav>a b</nav><main class="content search-page">{article}<section id="comments"><article class="comment"><p>{other}</p></article></section></main><footer>x</footer>',
+    "<body><table><tr><td class=m><a href=1>Menu</a><br><a href=2>Other</a></td><td class=t>{article}</td><td>All rights reserved</td></tr></table>",
+    "<body><div id=root><div class=q1>Call us</div><div class=q2>{article}</div><div class=q4><a href=1>{link}</a> <a href=2>{link}</a></div></div>",
+])
+def test_wrappers_find_the_article_in_varied_sites(site, pages):
+    r = random.Random(7)
+    made, held = [], None
+    for _ in range(pages):
+        parts = [_prose(r, 6), *[_prose(r, r.randrange(15, 50)) for _ in range(r.randrange(2, 6))]]
+        page = "<html>" + site.format(article=f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:]), other=_prose(r, 12), link=_prose(r, 3))
+        made.append((page, " ".join(parts)))
+        w = wrappers.page_wrapper(page)
+        held = w if held is None else wrappers.align(held, w)
+    assert [wrappers.text_of(page, wrappers.decide(held)) for page, _ in made] == [text for _, text in made]
