@@ -283,3 +283,63 @@ def test_layout_by_indexes(db, spark):
     assert "PushedFilters: [IsNotNull" in db.sql("EXPLAIN SELECT * FROM t WHERE age = 3")
     with pytest.raises(errors.UniqueViolation):
         db.sql("INSERT INTO t VALUES (5, 'x', 1)")
+
+
+@pytest.fixture
+def nulls(spark, tmp_path):
+    def make(compat):
+        db = Engine(spark, f"file://{tmp_path}", compat=compat)
+        if not spark.catalog.tableExists("nothing") and not (tmp_path / "manifest.json").exists():
+            db.sql("CREATE TABLE a (k INTEGER, s TEXT)")
+            db.sql("CREATE TABLE b (x INTEGER)")
+            db.sql(r"INSERT INTO a VALUES (1, 'x\\y'), (2, 'x_y'), (NULL, 'z')")
+            db.sql("INSERT INTO b VALUES (1), (NULL)")
+        return db
+
+    return make
+
+
+def test_columns_get_the_names_of_the_dialect(nulls):
+    db = nulls(False)
+    df = db.sql("SELECT 1, 'x', -2.5, CASE WHEN k = 1 THEN 'a' END, s, k AS kk FROM a")
+    assert df.columns == ["?column?", "?column?", "?column?", "case", "s", "kk"]
+    assert db.sql("SELECT count(*), COUNT(k), sum(k), Avg(k), min(s), max( k ) FROM a").columns == ["count", "count", "sum(k)", "avg(k)", "min(s)", "max(k)"]
+    assert db.sql("SELECT s, count(*) FROM a GROUP BY s HAVING count(*) > 0 ORDER BY count(*), s LIMIT 2").columns == ["s", "count"]
+    assert db.sql("SELECT k FROM a UNION ALL SELECT x FROM b").columns == ["k"]
+
+
+def test_windows_without_order_and_negative_offsets(nulls):
+    db = nulls(False)
+    assert rows(db.sql("SELECT rank() OVER () AS r, dense_rank() OVER (PARTITION BY s) AS d FROM a")) == [(1, 1)] * 3
+    assert rows(db.sql("SELECT row_number() OVER () AS n FROM a")) == [(1,), (2,), (3,)]
+    for call in ("lag(s, -2)", "lead(s, -1)"):
+        assert rows(db.sql(f"SELECT s, {call} OVER (ORDER BY s) AS l FROM a")) == [(s, s) for s in ("x\\y", "x_y", "z")]
+
+
+@pytest.mark.parametrize("compat, expected", [
+    (False, {"eq": [(1,)], "ne": [(2,)], "in": [(1,)], "not_in": [], "join": [(1,)], "sum": [(None, None)], "case": [("n",), ("n",), ("y",)], "sets": [(2,)]}),
+    (True, {"eq": [(1,)], "ne": [(2,), (None,)], "in": [(1,), (None,)], "not_in": [(2,)], "join": [(1,), (None,)], "sum": [(0, 0.0)], "case": [("n",), ("n",), ("y",)], "sets": [(2,)]}),
+])
+def test_compat_semantics(nulls, compat, expected):
+    db = nulls(compat)
+    texts = {
+        "eq": "SELECT k FROM a WHERE k = 1", "ne": "SELECT k FROM a WHERE k != 1", "in": "SELECT k FROM a WHERE k IN (SELECT x FROM b)", "not_in": "SELECT a.k FROM a WHERE a.k NOT IN (SELECT x FROM b)",
+        "join": "SELECT k FROM a JOIN b ON a.k = b.x", "sum": "SELECT sum(k), avg(k) FROM a WHERE k > 5", "case": "SELECT CASE WHEN k = 1 THEN 'y' ELSE 'n' END FROM a", "sets": "SELECT k FROM a EXCEPT SELECT x FROM b",
+    }
+    got = {n: sorted(map(tuple, db.sql(t).collect()), key=lambda r: [(v is None, str(v)) for v in r]) for n, t in texts.items()}
+    assert got == expected
+    assert db.sql("SELECT sum(k), avg(k) FROM a").columns == ["sum(k)", "avg(k)"]
+
+
+def test_compat_chains_set_operations_to_the_right(nulls):
+    text = "SELECT k FROM a WHERE k = 1 UNION SELECT k FROM a WHERE k = 2 EXCEPT SELECT k FROM a WHERE k = 1 UNION SELECT x FROM b WHERE x = 1"
+    assert rows(nulls(False).sql(text)) == [(1,), (2,)]
+    assert rows(nulls(True).sql(text)) == [(1,), (2,)]
+    text = "SELECT x FROM b WHERE x = 1 EXCEPT SELECT k FROM a WHERE k = 2 UNION SELECT x FROM b WHERE x = 1"
+    assert rows(nulls(False).sql(text)) == [(1,)]
+    assert rows(nulls(True).sql(text)) == []
+
+
+def test_like_takes_a_backslash_as_it_is(nulls):
+    assert rows(nulls(False).sql(r"SELECT s FROM a WHERE s LIKE 'x\\_'")) == [("x\\y",)]
+    assert len(rows(nulls(False).sql("SELECT s FROM a WHERE s LIKE 'x_y' AND s NOT LIKE '%z'"))) == 2
