@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import dialect
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run one SELECT with {table} placeholders bound to the folder's Parquet tables."""
+def sql(spark: SparkSession, sf_dir: str, text: str, compat: bool = False) -> DataFrame:
+    """Run one SELECT of the dialect with {table} placeholders bound to the folder's Parquet tables."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    return spark.sql(dialect.rewrite(text, compat), **used)
 
 
 def oracle(text: str) -> str:

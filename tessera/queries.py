@@ -121,6 +121,34 @@ for _name, _text in SQL.items():
     _add(_name, _text)
 
 
+# Statements whose columns or results differ from standard SQL: the text, whether it runs with compat, and the standard SQL for it.
+DIALECT = {
+    "names_default": ("select o_orderstatus, 1, case when o_orderstatus = 'F' then 'done' end, count(*), min(o_orderdate) from {orders} group by o_orderstatus", False,
+                      "select o_orderstatus, 1 as \"?column?\", case when o_orderstatus = 'F' then 'done' end as \"case\", count(*) as count, min(o_orderdate) as \"min(o_orderdate)\" from orders group by o_orderstatus"),
+    "win_negative_offset": ("select event_id, lead(event_type, -2) over (partition by user_id order by ts, event_id) as same from {events}", False, "select event_id, event_type as same from events"),
+    "win_rank_unordered": ("select s_suppkey, rank() over (partition by s_nationkey) as rk from {supplier}", False, "select s_suppkey, 1 as rk from supplier"),
+    "compat_sql_sums": ("select sum(p_size), avg(p_size) from {part} where p_size < 0", True, "select cast(0 as bigint) as \"sum(p_size)\", cast(0 as double) as \"avg(p_size)\""),
+    "compat_sql_not_equal": ("select o_orderkey, l_linenumber from {orders} left join {lineitem} on o_orderkey = l_orderkey where l_linenumber != 1", True,
+                             "select o_orderkey, l_linenumber from orders left join lineitem on o_orderkey = l_orderkey where l_linenumber is distinct from 1"),
+    "compat_sql_not_in": ("select c_custkey from {customer} where c_custkey not in (select nullif(o_custkey, 1) from {orders})", True,
+                          "select c_custkey from customer where not exists (select 1 from orders where nullif(o_custkey, 1) = c_custkey)"),
+    "compat_sql_right_chain": ("select n_nationkey as k from {nation} except select s_nationkey from {supplier} where s_suppkey < 9 union select c_nationkey from {customer} where c_custkey < 20", True,
+                               "select n_nationkey as k from nation except (select s_nationkey from supplier where s_suppkey < 9 union select c_nationkey from customer where c_custkey < 20)"),
+}
+
+
+def _add_dialect(name: str, text: str, compat: bool, oracle: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return views.sql(spark, d, text, compat)
+
+    run.__name__ = name
+    query(oracle)(run)
+
+
+for _name, _told in DIALECT.items():
+    _add_dialect(_name, *_told)
+
+
 @query("""
 select n_name, count(*) as orders, sum(o_totalprice) as total
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
