@@ -343,3 +343,11 @@ def test_compat_chains_set_operations_to_the_right(nulls):
 def test_like_takes_a_backslash_as_it_is(nulls):
     assert rows(nulls(False).sql(r"SELECT s FROM a WHERE s LIKE 'x\\_'")) == [("x\\y",)]
     assert len(rows(nulls(False).sql("SELECT s FROM a WHERE s LIKE 'x_y' AND s NOT LIKE '%z'"))) == 2
+
+
+@pytest.mark.parametrize("compat, left", [(False, [(1,), (None,)]), (True, [(1,)])])
+def test_conditions_of_writes_follow_compat(nulls, compat, left):
+    db = nulls(compat)
+    assert db.sql("UPDATE a SET s = 'seen' WHERE s = 'z' AND k != 7") == f"UPDATE {int(compat)}"
+    db.sql("DELETE FROM a WHERE k NOT IN (SELECT x FROM b WHERE x = 1)" if compat else "DELETE FROM a WHERE k != 1")
+    assert sorted(map(tuple, db.sql("SELECT k FROM a").collect()), key=str) == sorted(left, key=str)
