@@ -7,8 +7,8 @@ enough. Candidates are scored exactly in double precision.
 
 Vectors are first extended by one component that makes all norms equal, so that a small angle means a large product;
 the mean is taken off and each hyperplane passes through the median of a sample, which keeps the trees balanced. How many
-candidates are enough is fitted: on a sample of at most FIT_ROWS vectors and FIT_QUERIES queries (documented bounds) the
-least share of rows that reaches recall TARGET against brute force is taken. Clustered vectors need a small share;
+candidates are enough is fitted: on a sample of at most FIT_ROWS vectors and FIT_QUERIES of them as queries, drawn at
+random (documented bounds), the least share of rows that reaches recall TARGET against brute force is taken. Clustered vectors need a small share;
 vectors without structure need a large one, whatever the index. Every row is indexed; none is dropped.
 
 Equal vectors are one entry of the trees, with their k + 1 smallest ids: more can never be among a query's k nearest, as
@@ -81,9 +81,10 @@ class Forest:
     def _fit(self, sample: np.ndarray, k: int, n: int) -> float:
         if n <= 50 * k or len(sample) <= 10 * k:
             return 1.0
-        s, q = self.strings(sample), np.arange(min(FIT_QUERIES, len(sample)))
+        # the sample is sorted: its first rows may all be of one cluster, so the queries are drawn from all of it
+        s, q = self.strings(sample), np.random.default_rng(len(sample)).permutation(len(sample))[:FIT_QUERIES]
         products = sample[q] @ sample.T
-        products[q, q] = -np.inf
+        products[np.arange(len(q)), q] = -np.inf
         top = np.argsort(-products, axis=1, kind="stable")[:, :k]
         counts = self.counted(s)
         for share in (0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9):

@@ -97,6 +97,27 @@ def test_forest_recall(spark):
     assert np.mean(hit) >= 0.9
 
 
+def test_forest_fit_with_a_hot_cluster():
+    """The share is fitted on queries from the whole table, not on its smallest vectors, which are all of the cluster here."""
+    for hot in (0.05, 0.1, 0.33):
+        rng = np.random.default_rng(3)
+        v = rng.standard_normal((8000, 64))
+        some = v[: int(8000 * hot)]
+        some *= 0.1
+        some += rng.standard_normal(64)
+        some[:, 0] -= 8
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        v = np.array(sorted(v.tolist()))
+        f = forest.Forest(v, 1 + 1e-12, 20, len(v))
+        s, q = f.strings(v), rng.choice(len(v), 300, replace=False)
+        products = v[q] @ v.T
+        products[np.arange(300), q] = -np.inf
+        top = np.argsort(-products, axis=1)[:, :20]
+        shift = forest.DEPTH - f.ascend(s[:, q], f.counted(s), len(v))
+        met = np.any([(s[t][top] >> shift[:, None]) == (s[t][q] >> shift)[:, None] for t in range(forest.TREES)], axis=0)
+        assert met.mean() >= 0.9, (hot, f.share, met.mean())
+
+
 def test_forest_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(0, 61)] + [(100, None), (120, [nan, 1.0]), (140, [inf, 1.0]), (160, [0.0, 0.0]), (None, [1.0, 1.0]), (180, [1.0]), (200, [None, 1.0]), (20, [1.0, 0.0]), (61, [0.5, 0.5])]
