@@ -12,7 +12,8 @@ random (documented bounds), the least share of rows that reaches recall TARGET a
 vectors without structure need a large one, whatever the index. Every row is indexed; none is dropped.
 
 Equal vectors are one entry of the trees, with their k + 1 smallest ids: more can never be among a query's k nearest, as
-ties go to smaller ids. Entries under one prefix are dealt in blocks of at most about BLOCK; queries meet every block of
+ties go to smaller ids. A block keeps, of all entries that may tie with the last one needed, the k + 1 ids that come first
+by exact score and id. Entries under one prefix are dealt in blocks of at most about BLOCK; queries meet every block of
 their prefixes. Counts by prefix are held to depth DEPTH, which bounds what the driver holds: TREES * 2 ** (DEPTH + 1).
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those
@@ -167,18 +168,34 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         if not len(ask) or not len(row):
             return pd.DataFrame({"q": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         v, many = _matrix(row["v"]), row["ids"].to_numpy()
+        count = np.array([len(i) for i in many])
+        ids, first = np.concatenate(many).astype(np.int64), np.cumsum(count) - count
+        # the product's last digits depend on its shape: what may be equal to the last one needed is scored again
+        margin = 8 * v.shape[1] * np.finfo(float).eps * np.sqrt((v * v).sum(axis=1).max())
         out = []
         for at in range(0, len(ask), 512):
             part = ask.iloc[at : at + 512]
             w = _matrix(part["v"])
             products = w @ v.T
-            keep = min(len(v), k + 5)  # a few more, as the product's last digits depend on its shape
-            top = np.argpartition(-products, keep - 1, axis=1)[:, :keep]
-            score = (w[:, None, :] * v[top]).sum(axis=2)
-            for q, i, s in zip(part["q"].astype("int64").tolist(), top, score):
-                for j, x in zip(i.tolist(), s.tolist()):
-                    out += [(q, int(y), x) for y in many[j]]
-        return pd.DataFrame(out, columns=["q", "vec_id", "score"])
+            slack = margin * np.sqrt((w * w).sum(axis=1))
+            need = min(len(v), k + 1)
+            last = np.partition(products, len(v) - need, axis=1)[:, len(v) - need]
+            for q, x, p, least in zip(part["q"].astype("int64").tolist(), w, products, last - slack):
+                while True:
+                    i = np.flatnonzero(p >= least)
+                    score, n = (x * v[i]).sum(axis=1), count[i]
+                    own = ids[np.repeat(first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    score = np.repeat(score, n)
+                    order = np.lexsort((own, -score))
+                    # an id of several vectors counts once, with its best
+                    best = np.sort(np.unique(own[order], return_index=True)[1])
+                    if len(best) > k or len(i) == len(v):
+                        break
+                    more = min(len(v), 2 * len(i))
+                    least = min(least, np.partition(p, len(v) - more)[len(v) - more])
+                best = order[best[: k + 1]]
+                out.append((np.full(len(best), q), own[best], score[best]))
+        return pd.DataFrame(dict(zip(("q", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     keys = ["t", "d", "p", "b"]
     parts = pieces(n * TREES * max(1, len(levels)), 30_000, 12)

@@ -118,6 +118,17 @@ def test_forest_fit_with_a_hot_cluster():
         assert met.mean() >= 0.9, (hot, f.share, met.mean())
 
 
+def test_forest_ties_of_distinct_vectors(spark):
+    """More distinct vectors tie at the last place than any fixed surplus holds; smaller ids win."""
+    v = np.unique(np.random.default_rng(5).integers(-1, 2, (900, 16)), axis=0)
+    v = np.random.default_rng(6).permutation(v[(v != 0).any(axis=1)]).astype(float)
+    got = {}
+    for r in forest.nearest(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {i: [j for j in np.argsort(-(v @ v[i]), kind="stable").tolist() if j != i][:20] for i in range(0, len(v), 20)}
+    assert got == want
+
+
 def test_forest_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(0, 61)] + [(100, None), (120, [nan, 1.0]), (140, [inf, 1.0]), (160, [0.0, 0.0]), (None, [1.0, 1.0]), (180, [1.0]), (200, [None, 1.0]), (20, [1.0, 0.0]), (61, [0.5, 0.5])]
