@@ -3,7 +3,12 @@
 Method: normalised text (lower-cased runs of letters and digits) is compared with each template by the Dice coefficient
 over the sets of word bigrams, 2|A and B| / (|A| + |B|). Size bounds prune first: the coefficient is at most
 2 min / (|A| + |B|), so only templates with |A| between t|B| / (2 - t) and its converse are compared. A document's units
-are its lines and its whole text. Only DataFrame functions are used; the templates are a short fixed list in the plan.
+are its lines and its whole text. A licence that none of these matches is then looked for in windows of consecutive
+words of the text, over line ends, so that wrapped notices and sentences inside a paragraph are found: every window of at
+most |A| (2 - t) / t bigrams that begins and ends with a bigram of the template A (others lower the coefficient) is
+compared, in documents that hold at least the |A| t / (2 - t) of its bigrams without which no window can match. Lines and
+whole texts come first: where one matches, license and dice are theirs, and windows only add names to licenses.
+Only DataFrame functions are used; the templates are a short fixed list in the plan.
 
 Defined cases: null and empty texts have no licence. Units of fewer than two words have no bigrams and match nothing.
 Ties in the coefficient go to the licence name that sorts first. Repeated rows and null ids give rows like others. An
@@ -12,6 +17,7 @@ empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 
 import xxhash
@@ -80,14 +86,52 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[st
             for name, t in known
         ])
 
+    def windows(w, found):
+        """Matches of windows of the words w, for the licences that are not among the names found."""
+        bound = lambda x, f: F.flatten(F.transform(F.array(x), f))  # noqa: E731  x is computed once
+        none = F.array().cast("array<struct<score:double,name:string>>")
+        every = sorted({h for _, t in known for h in t})
+        least = min(math.ceil(len(t) * threshold / (2 - threshold) - 1e-9) for _, t in known)
+
+        def of(g, at, name, t):
+            few, many = math.ceil(len(t) * threshold / (2 - threshold) - 1e-9), math.floor(len(t) * (2 - threshold) / threshold + 1e-9)
+            score = lambda b: F.struct((-2.0 * F.size(F.array_intersect(b, F.lit(t))) / (F.size(b) + len(t))).alias("score"), F.lit(name).alias("name"))
+            here = lambda p: F.flatten(F.transform(p, lambda i: F.transform(F.filter(p, lambda j: (j - i >= few - 1) & (j - i < many)), lambda j: bound_one(F.array_distinct(F.slice(g, i + 1, j - i + 1)), score))))
+            best = lambda p: F.filter(F.array(F.array_min(here(p))), lambda m: m["score"] <= -threshold)
+            return bound(F.filter(at, lambda i: F.get(g, i).isin(t)), lambda p: F.when(F.size(p) >= few, best(p)).otherwise(none))
+
+        bound_one = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+
+        def each(g, at, held):
+            return F.flatten(F.array(*[
+                F.when((F.size(F.array_intersect(held, F.lit(t))) >= len(t) * threshold / (2 - threshold) - 1e-9) & ~F.array_contains(found, name), of(g, at, name, t)).otherwise(none)
+                for name, t in known
+            ]))
+
+        def of_known(g, at):
+            return bound(F.array_distinct(F.transform(at, lambda i: F.get(g, i))), lambda held: F.when(F.size(held) >= least, each(g, at, held)).otherwise(none))
+
+        def of_grams(g):
+            return bound(F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(g, i).isin(every)), lambda at: F.when(F.size(at) >= least, of_known(g, at)).otherwise(none))
+
+        all_grams = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
+        return F.when(F.size(w) > 1, bound(all_grams, of_grams)).otherwise(none)
+
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of)
     # all words are at hand before bigrams are made of a unit; repeated words make fewer bigrams, never more
-    units = F.transform(F.array(lines), lambda u: F.concat(u, F.when(F.size(u) > 1, F.array(F.flatten(u))).otherwise(F.array().cast("array<array<string>>"))))
-    fit = F.filter(F.transform(F.filter(F.flatten(units), lambda w: F.size(w) > low), grams), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
-    hits = F.filter(F.flatten(F.transform(fit, best)), lambda m: m.isNotNull() & (m["score"] <= -threshold)) if known else F.array().cast("array<struct<score double, name string>>")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hits.alias("hits"))
-    top = F.array_min("hits")
-    names = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda m: m["name"]))), ",")
+    def both(u, w):
+        """(hits of lines and the whole text, hits of windows)"""
+        units = F.concat(u, F.when(F.size(u) > 1, F.array(w)).otherwise(F.array().cast("array<array<string>>")))
+        fit = F.filter(F.transform(F.filter(units, lambda x: F.size(x) > low), grams), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
+        hits = F.filter(F.flatten(F.transform(fit, best)), lambda m: m.isNotNull() & (m["score"] <= -threshold))
+        return F.transform(F.array(hits), lambda h: F.struct(h.alias("hits"), windows(w, F.transform(h, lambda m: m["name"])).alias("more")))
+
+    found = F.flatten(F.transform(F.array(lines), lambda u: F.flatten(F.transform(F.array(F.flatten(u)), lambda w: both(u, w)))))
+    none = F.array().cast("array<struct<score:double,name:string>>")
+    found = F.get(found, 0) if known else F.struct(none.alias("hits"), none.alias("more"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
+    top = F.coalesce(F.array_min("found.hits"), F.array_min("found.more"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat("found.hits", "found.more"), lambda m: m["name"]))), ",")
     return out.select("doc_id", top["name"].alias("license"), (-top["score"]).alias("dice"), names.alias("licenses"))
 
 

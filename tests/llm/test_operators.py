@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -256,6 +257,29 @@ def test_licenses_odd(spark, odd, none):
     assert (got[0]["license"], got[0]["dice"]) == ("MIT", 1.0) and got[1]["licenses"] == "Apache-2.0,CC-BY-NC-4.0"
 
 
+def test_licenses_wrapped_and_embedded(spark):
+    """A notice wrapped over lines, or inside a paragraph, of a longer document, against brute force over all windows."""
+    around = " ".join(WORDS * 7)
+    texts, want = [], []
+    for name, text in licenses.TEMPLATES:
+        texts += [f"{around}\n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, 72)) + f"\n{around}", f"{around}. {text} {around}."]
+        want += [name] * 2
+    texts += [around, "the license and the software of the public domain " * 30]
+    got = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    for i, (text, r) in enumerate(zip(texts, got)):
+        g = list(zip(licenses.normal(text), licenses.normal(text)[1:]))
+        best = {}
+        for name, t in licenses.TEMPLATES:
+            t = set(zip(licenses.normal(t), licenses.normal(t)[1:]))
+            for a in range(len(g)):
+                for b in range(a, min(len(g), a + int(1.5 * len(t)))):
+                    if g[a] in t and g[b] in t:
+                        s = set(g[a : b + 1])
+                        best[name] = max(best.get(name, 0), 2 * len(s & t) / (len(s) + len(t)))
+        assert r["licenses"] == ",".join(sorted(n for n, x in best.items() if x >= 0.8 - 1e-12)), text
+        assert i >= len(want) or want[i] in r["licenses"].split(",") and r["dice"] >= 0.8
+
+
 def test_pipeline(spark, odd):
     out = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
