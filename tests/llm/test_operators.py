@@ -318,3 +318,34 @@ def test_wrappers_find_the_article_in_varied_sites(site, pages):
         w = wrappers.page_wrapper(page)
         held = w if held is None else wrappers.align(held, w)
     assert [wrappers.text_of(page, wrappers.decide(held)) for page, _ in made] == [text for _, text in made]
+
+
+@pytest.mark.parametrize("pages", [1, 12])
+@pytest.mark.parametrize("site", [
+    "<body><nav>a b</nav><article class=lead><h1>{0}</h1><p>{1}</p></article><aside>{other}</aside><article class=body><p>{2}</p><p>{3}</p></article>",
+    "<body><div class='entry-content first'><h1>{0}</h1><p>{1}</p></div><div class=share><p>{other}</p></div><div class='entry-content second'><p>{2}</p><p>{3}</p></div>",
+    "<body><header>{other}</header><main><h1>{0}</h1><p>{1}</p><article><p>{2}</p><p>{3}</p></article><div class=related><p>{other}</p></div><ul><li><a href=1>{link}</a><li><a href=2>{link}</a></ul></main>",
+    "<body><div id=content><header><h1><a href=1>{0}</a></h1></header><div class=intro><p>{1}</p></div><article><p>{2}</p></article><article class=more><p>{3}</p></article></div>",
+])
+def test_wrappers_keep_all_groups_of_the_article(site, pages):
+    r = random.Random(8)
+    made, held = [], None
+    for _ in range(pages):
+        parts = [_prose(r, 6), *[_prose(r, r.randrange(15, 50)) for _ in range(3)]]
+        page = "<html>" + site.format(*parts, other=_prose(r, 12), link=_prose(r, 3))
+        made.append((page, " ".join(parts)))
+        w = wrappers.page_wrapper(page)
+        held = w if held is None else wrappers.align(held, w)
+    groups = wrappers.decide(held)
+    assert [wrappers.text_of(page, groups) for page, _ in made] == [text for _, text in made]
+
+
+def test_wrappers_around_the_article():
+    """What the template repeats around the article goes; a page of the host without an article gives its main group."""
+    made = [f"<body><main><h1>title {i}</h1><article><p>{'text ' * i}of {i}</p></article><div class=x><p>Call us today</p></div></main>" for i in range(1, 9)]
+    made.append("<body><main><h1>title 9</h1><section><p>other text</p></section></main>")
+    held = wrappers.page_wrapper(made[0])
+    for page in made[1:]:
+        held = wrappers.align(held, wrappers.page_wrapper(page))
+    got = [wrappers.text_of(page, wrappers.decide(held)) for page in made]
+    assert got == [f"title {i} {'text ' * i}of {i}" for i in range(1, 9)] + ["title 9 other text"]
