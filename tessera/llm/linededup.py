@@ -5,8 +5,8 @@ merge by aggregation, on the map side first. Where the estimate is clear of the
 the threshold the line's distinct sites are counted exactly. A line at or over the threshold is removed wherever it
 stands, but for the document with the smallest doc_id that has it, so no content is lost to the corpus.
 
-Lines are cut at line feeds and compared without surrounding blanks. Lines of fewer than `min_words` words are too
-short to be told from chance and stay. Only DataFrame functions are used. Line hashes have 96 bits.
+Lines are cut at line feeds and compared without surrounding blanks. Lines of fewer than `min_words` words (five
+by the oracle's rule) stay, however many sites they are on, and blank lines always do. Only DataFrame functions are used. Line hashes have 96 bits.
 
 Defined cases: a null text stays null; a null source is no site; lines with null doc_id count, and are never the kept
 ones. Repeated rows are returned as often as they come, each cleaned alike. A document of boilerplate only gets an
@@ -36,7 +36,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     each = docs.select(_rowkey().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = each.withColumn("line", F.btrim("line", F.lit(_BLANKS)))
     enough = F.size(F.split("line", r"[ \t\r\f\x0b]+")) >= min_words
-    return each.where(enough).select("row", "doc_id", "source", "pos", F.xxhash64("line").alias("h"), F.hash("line", F.lit(3)).alias("c"))
+    return each.where(enough & (F.col("line") != "")).select("row", "doc_id", "source", "pos", F.xxhash64("line").alias("h"), F.hash("line", F.lit(3)).alias("c"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:

@@ -169,6 +169,12 @@ def test_line_dedup_odd(spark, odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    docs = spark.createDataFrame([(i, f"own {i}\n\nAll rights reserved.\n", f"s{i}") for i in range(8)], "doc_id long, text string, source string")
+    got = linededup.dedup_lines(docs, min_words=1).orderBy("doc_id").collect()
+    assert got[0]["text"].endswith("reserved.\n") and [r["text"] for r in got[1:]] == [f"own {i}\n\n" for i in range(1, 8)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
