@@ -1,12 +1,12 @@
 """Benchmark decontamination: short test items found inside long documents.
 
-Method: size-partitioned MinHash containment search. Items are partitioned by their number of distinct shingles
-(powers of two). The MinHash sketch of an item is its k smallest shingle hashes, where k follows from its own size
+Method: bottom-k MinHash containment search. The MinHash sketch of an item is its k smallest shingle hashes, where k follows from its own size
 n and the threshold t: k = n - ceil(t n) + 1. A document that holds at least t of the item's shingles misses at most
 n - ceil(t n) of them, so it holds at least one of the sketch: the search loses nothing, however long the document is.
 (With a Jaccard-tuned banding a short item in a long document needs thousands of hashes to be found with near
-certainty; the containment bound gives certainty with a few.) Each partition has the largest hash of its sketches as
-its limit, and a document's shingles above the largest limit never leave the row. Candidates are then verified by
+certainty; the containment bound gives certainty with a few.) All items are searched as one set: since k follows each
+item's own size, partitions by size are not needed. The largest hash of all sketches is the limit above which a
+document's shingles never leave the row. Candidates are then verified by
 exact containment over all of the item's distinct shingles.
 
 Only DataFrame functions are used. Words are lower-cased runs of letters and digits; a shingle is `width` words; fewer
