@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by largest inner product, with a hash-prefix forest.
 
-Method: each of TREES trees gives every vector a long string of bits, the sides of its own rotated hyperplanes; a tree is
-the sorted array of these strings. A query descends each tree to its longest matching prefix and then all trees ascend
-together, one bit at a time, so that ever more strings share the prefix, until the union of their matches is large
-enough. Candidates are scored exactly in double precision.
+Method: each of TREES trees gives every vector a string of DEPTH bits, the sides of its own rotated hyperplanes. In place
+of sorted arrays of long strings, a tree is the counts of its vectors by prefix. For a query all trees ascend together
+from depth DEPTH, one bit at a time, so that ever more strings share the prefix, until the union of their matches is
+expected to be large enough, by the counts and as if trees were independent. Candidates are the vectors under these
+prefixes, met by grouping on the prefix and scored exactly in double precision.
 
 Vectors are first extended by one component that makes all norms equal, so that a small angle means a large product;
 the mean is taken off and each hyperplane passes through the median of a sample, which keeps the trees balanced. How many
