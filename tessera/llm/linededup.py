@@ -27,8 +27,9 @@ _BLANKS = " \t\r\f\x0b"
 
 
 def _rowkey():
-    """A row is known by its doc_id and text, so that repeated rows and null ids need no numbering."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), "text")
+    """128 bits: a row is known by its doc_id and text, so that repeated rows and null ids need no numbering."""
+    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.col("text"))
+    return F.struct(F.xxhash64(*key).alias("x"), F.xxhash64(F.lit("again"), *key).alias("y"))
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -60,7 +61,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     cut = written(cut.groupBy("row").agg(F.collect_set("pos").alias(f"{OWN}cut")).withColumnRenamed("row", f"{OWN}row"), "cut")
     # a merge join at every size: the documents that lose lines grow with the corpus, so they are never broadcast
     out = docs.withColumn(f"{OWN}key", _rowkey()).join(cut.hint("merge"), F.col(f"{OWN}key") == F.col(f"{OWN}row"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(f"{OWN}cut"), i)), "\n")
+    # the positions that stay, by a hash set, and then their lines: linear in the text's lines, however many are cut
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(f"{OWN}cut")), lambda p: F.get(lines, p))
+    left = F.array_join(F.get(F.transform(F.array(F.split("text", "\n")), stay), 0), "\n")
     columns = [c for c in docs.columns if c.lower() != "lines_removed"]
     text = F.when(F.col(f"{OWN}cut").isNull(), F.col("text")).otherwise(left)
     removed = F.coalesce(F.when(F.col(f"{OWN}cut").isNotNull(), F.size(f"{OWN}cut")), F.lit(0)).cast("long")
