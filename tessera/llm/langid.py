@@ -29,8 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean_batches
+
 #: Rows for each language that the classifiers are fitted on, in expectation.
 SAMPLE = 5000
+#: Languages that a model may have: 1 MB of the driver's memory each. A column with more is refused, not cut.
+MAX_LANGS = 200
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 PIECE = 1 << 18
@@ -80,7 +84,8 @@ def codewords(n: int, seed: int = 9) -> np.ndarray:
     for _ in range(200):
         code = np.array([[rng.choice((1, -1)) for _ in range(bits)] for _ in range(n)], np.int8)
         code = code[:, abs(code.sum(axis=0)) < n]
-        gap = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        same = code.astype(np.int32) @ code.T.astype(np.int32)
+        gap = (code.shape[1] - int((same - 2 * code.shape[1] * np.eye(n, dtype=np.int32)).max())) // 2
         best = max(best, (gap, code), key=lambda x: x[0])
     return best[1]
 
@@ -94,8 +99,10 @@ class Model:
     def margins(self, texts: list[str]) -> np.ndarray:
         """(texts, bits): each classifier's mean log-odds, at about 1 or -1 for a typical text."""
         total, n = np.zeros((len(texts), self.w.shape[1])), np.zeros((len(texts), 1))
+        step = max(1, (1 << 21) // max(1, self.w.shape[1]))
         for i, h in pieces(texts):
-            total[i] += self.w.take(h, axis=0).sum(axis=0, dtype=np.float64)
+            for at in range(0, len(h), step):
+                total[i] += self.w.take(h[at : at + step], axis=0).sum(axis=0, dtype=np.float64)
             n[i] += len(h)
         return total / np.maximum(n, 1)
 
@@ -120,26 +127,28 @@ def _held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Counts of n-grams by language are added up by Spark; the driver gets at most BUCKETS numbers a language."""
+def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) -> Model:
+    """Counts of n-grams by language are added up by Spark; the driver gets at most BUCKETS numbers a language, of at
+    most max_langs languages. More are a ValueError: the column doesn't hold languages then."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"lang has more than {max_langs} values (max_langs)")
     langs = sorted(counts)
     code = codewords(len(langs))
+    lean_batches(docs.sparkSession)
     if len(langs) < 2:
         return Model(langs, code, np.zeros((BUCKETS, code.shape[1]), np.float32), np.ones(code.shape))
-    share = F.lit(0.0)
-    for x in langs:
-        share = F.when(F.col("lang") == x, F.lit(min(1.0, sample / counts[x]))).otherwise(share)
+    share = F.element_at(F.create_map(*[F.lit(y) for x in langs for y in (x, min(1.0, sample / counts[x]))]), F.col("lang").cast("string"))
     luck = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("fit")), F.lit(1 << 20)) / float(1 << 20)
     part = rows.where(luck < share).select(F.col("lang").cast("string").alias("lang"), "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {x: np.zeros(BUCKETS, np.int64) for x in langs}
+        held: dict[str, np.ndarray] = {}
         for b in batches:
             names = b["lang"].tolist()
             for i, h in pieces(b["text"].tolist()):
-                held[names[i]] += np.bincount(h, minlength=BUCKETS)
+                held[names[i]] = held.get(names[i], 0) + np.bincount(h, minlength=BUCKETS)
         for x, c in held.items():
             at = np.flatnonzero(c)
             if len(at):
@@ -173,6 +182,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and ambiguous; columns of these names are replaced."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    lean_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
