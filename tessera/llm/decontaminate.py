@@ -4,10 +4,12 @@ Method: bottom-k MinHash containment search. The MinHash sketch of an item is it
 n and the threshold t: k = n - ceil(t n) + 1. A document that holds at least t of the item's shingles misses at most
 n - ceil(t n) of them, so it holds at least one of the sketch: the search loses nothing, however long the document is.
 (With a Jaccard-tuned banding a short item in a long document needs thousands of hashes to be found with near
-certainty; the containment bound gives certainty with a few.) All items are searched as one set: since k follows each
-item's own size, partitions by size are not needed. The largest hash of all sketches is the limit above which a
-document's shingles never leave the row. Candidates are then verified by
-exact containment over all of the item's distinct shingles.
+certainty; the containment bound gives certainty with a few.) Items are partitioned by size, by powers of four, and each
+class is searched for itself: the largest hash of its sketches is its own limit, and only a document's shingles up to that
+limit leave the row for that class. So a class of tiny items, whose sketches reach high, doesn't lift the limit of the
+others, which for large items nears the share 1 - t of all shingles. Candidates are then verified by exact containment
+over all of the item's distinct shingles. Sketches too large to broadcast meet the shingles by class and hash in a
+shuffle, before which Spark's runtime Bloom filters (on by default) drop shingles that no sketch has.
 
 Only DataFrame functions are used. Words are lower-cased runs of letters and digits; a shingle is `width` words; fewer
 words are one shingle, so that such an item matches only documents that are that same sequence.
@@ -44,23 +46,21 @@ def items_of(benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WI
     n = F.size("hashes")
     return items.where(n > 0).select(
         F.xxhash64(F.coalesce(F.col("item_id"), F.lit(-1)), "text_key").alias("key"), "item_id", n.alias("n"),
-        F.floor(F.log2(n)).cast("int").alias("class"), "hashes", F.slice("hashes", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1).alias("sketch"),
+        F.floor(F.log2(n) / 2).cast("int").alias("class"), "hashes", F.slice("hashes", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1).alias("sketch"),
     )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) for each pair at or above the threshold."""
     items = written(items_of(benchmark, threshold, width), "items")
-    limits = items.select("class", F.array_max("sketch").alias("top")).groupBy("class").agg(F.max("top").alias("top"))
-    limit = limits.agg(F.max("top")).first()[0]  # one number
+    limits = items.select("class", F.array_max("sketch").alias("top")).groupBy("class").agg(F.max("top").alias("top")).orderBy("class").collect()  # 16 rows at most
     small = _bytes(items) <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda x: x)
-    sketch = items.select("key", F.explode("sketch").alias("h"))
+    sketch = items.select("class", F.explode("sketch").alias("h"))
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = shingle_hashes(F.col("text"), width)
-    low = row.select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("len"), F.explode(F.filter(hashes, lambda h: h <= F.lit(limit).cast("long"))).alias("h"))
+    low = row.select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("len"), F.inline(_below(shingle_hashes(F.col("text"), width), limits)))
     # candidates: the distinct texts that share a sketch value with some item
-    hit = low.join(hint(sketch.select("h").distinct()), "h", "left_semi").select("text_key", "len").distinct()
+    hit = low.join(hint(sketch.distinct()), ["class", "h"], "left_semi").select("text_key", "len").distinct()
     hit = written(hit, "hits")
     texts = row.withColumn("text_key", F.xxhash64("text")).withColumn("len", F.length("text"))
     on_hit = F.broadcast if _bytes(hit) <= BROADCAST_BYTES else (lambda x: x)
@@ -74,6 +74,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return ids.join(full, ["text_key", "len"]).select("doc_id", "item_id", "shared", F.col("n").cast("long").alias("item_shingles"), (F.col("shared") / F.col("n")).alias("containment"))
 
 
+def _below(hashes, limits):
+    """The hashes that each class has to be asked for, as an array of (class, h)."""
+    def of(hs, size, top):
+        return F.transform(F.filter(hs, lambda h: h <= F.lit(top).cast("long")), lambda h: F.struct(F.lit(size).alias("class"), h.alias("h")))
+
+    def probe(hs):
+        none = F.array().cast("array<struct<class:int,h:bigint>>")
+        return F.flatten(F.array(none, *[of(hs, r["class"], r["top"]) for r in limits]))
+
+    return F.flatten(F.transform(F.array(hashes), probe))
+
+
 def _bytes(df: DataFrame) -> int:
     """Upper bound of a written table's size: its files' bytes, times 8 for what compression may hide."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * 8
