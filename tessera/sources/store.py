@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -53,9 +54,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; below a local one where spark.checkpoint.dir is unset (tests)."""
+    """A new folder below the one that all executors share. Where spark.checkpoint.dir is unset, a session on one machine (tests)
+    gets a local one; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared}/engine-{uuid.uuid4().hex}"
