@@ -6,12 +6,19 @@ compatible, that is, if merging the two tokens' bytes alone gives these two toke
 new words are gathered in arrays and looked up at once in a table of pairs already judged; pairs met for the first time
 are judged once. Only words with a pair that fails undergo exact merging, by rank, with a heap.
 
+A word longer than LONG bytes is not merged as a whole: it is cut at compatible pairs, only the stretches that hold a
+pair that fails are merged, and a stretch grows until its ends are compatible too, which makes the result the same.
+
 Texts are split at the file's added tokens first, as its own library does. The vocabulary file (of a known size, checked)
-is read by the driver and broadcast, so executors need no file of their own.
+is read by the driver and broadcast, so executors need no file of their own. Files whose settings ask for another way of
+cutting or normalising texts are refused.
+
+Memory: a batch is worked through in slices of about SLICE bytes, the cache of words holds at most CACHE_BYTES, the table
+of judged pairs JUDGED entries; words over LONG bytes are never cached. What is left grows with the longest single text.
 
-Defined cases: a null text is encoded as the empty text, which has no tokens. Texts of any length are encoded whole;
-memory is bounded by the batch, and the cache of words is emptied when it is full. Repeated rows and null ids are
-encoded like others; an empty table gives an empty result. Other columns pass through, but for those this adds.
+Defined cases: a null text is encoded as the empty text, which has no tokens. Texts of any length are encoded whole.
+Repeated rows and null ids are encoded like others; an empty table gives an empty result. Other columns pass through, but
+for n_tokens, ids and decoded, in any case of letters, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,14 +29,19 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean_batches, slices
+
 # Fixed value: the pattern by which byte-level vocabularies of this family cut text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 700_000
+#: Bytes of cached words, by estimate; pairs that are remembered; bytes of a batch that are worked on at a time.
+CACHE_BYTES, JUDGED, SLICE = 64 << 20, 1 << 21, 1 << 20
+#: Bytes beyond which a word is merged by stretches, and tokens in a stretch at first.
+LONG, STRETCH = 1024, 32
 #: Bytes up to which merging scans a list; beyond, it keeps a heap. A rank larger than any.
 SHORT, NONE = 48, 1 << 40
 #: Words of one text that are held at a time, and characters of a text that is cut into words at once.
@@ -47,6 +59,7 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     def __init__(self, blob: bytes | str) -> None:
         file = json.loads(blob)
+        _check(file)
         letters, vocab = byte_letters(), file["model"]["vocab"]
         self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.ids = {b: i for i, b in self.bytes_of.items()}
@@ -65,6 +78,7 @@ class Bpe:
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
+        self.cached = 0  # bytes, by estimate
         self.judged, self.verdict = np.empty(0, np.int64), np.empty(0, bool)
         self.merged = 0
 
@@ -106,21 +120,58 @@ class Bpe:
                     heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
         return [i for i in ids if i is not None]
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, at, n, ids, longest = [], 0, len(word), self.ids.get, self.longest.get
+    def greedy(self, word: bytes) -> Iterator[int]:
+        at, n, ids, longest = 0, len(word), self.ids.get, self.longest.get
         while at < n:
             for k in range(min(longest(word[at : at + 4], 3), n - at), 0, -1):
                 if (i := ids(word[at : at + k])) is not None:
                     break
-            out.append(i)
+            yield i
             at += k
-        return out
+
+    def spell(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def stretches(self, word: bytes) -> np.ndarray:
+        """A long word's ids: only stretches around pairs that fail are merged, and grow until their ends hold."""
+        t = np.fromiter(self.greedy(word), np.int64)
+        pairs = t[:-1] << 32 | t[1:] + 1
+        held = np.concatenate([np.empty(0, bool), *(self.compatible(pairs[a : a + STEP]) for a in range(0, len(pairs), STEP))])
+        if held.all():
+            return t
+        self.merged += 1
+        good = np.flatnonzero(held) + 1
+        cuts = good[np.unique(good // STRETCH, return_index=True)[1]]
+        parts: list[np.ndarray] = np.split(t, cuts)
+        for i in np.unique(np.searchsorted(cuts, np.flatnonzero(~held) + 1, side="right")).tolist():
+            parts[i] = np.array(self.merge(self.spell(parts[i].tolist())), np.int64)
+        while len(parts) > 1:
+            ends = np.array([p[-1] for p in parts[:-1]]) << 32 | np.array([p[0] for p in parts[1:]]) + 1
+            held = self.compatible(ends)
+            if held.all():
+                break
+            out, i = [], 0
+            while i < len(parts):
+                j = i + 1
+                if i < len(held) and not held[i]:
+                    size, j = len(parts[i]) + len(parts[i + 1]), i + 2
+                    while j < len(parts) and (size < 2 * len(parts[i]) or not held[j - 1]):
+                        size += len(parts[j])
+                        j += 1
+                    out.append(np.array(self.merge(self.spell(np.concatenate(parts[i:j]).tolist())), np.int64))
+                else:
+                    out.append(parts[i])
+                i = j
+            parts = out
+        return np.concatenate(parts)
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """For codes left << 32 | right + 1 (right + 1 is 0 for a token that is a word alone): whether they hold."""
         codes, where = np.unique(pairs, return_inverse=True)
         at = np.minimum(np.searchsorted(self.judged, codes), max(0, len(self.judged) - 1))
         new = codes if not len(self.judged) else codes[self.judged[at] != codes]
+        if len(self.judged) and len(self.judged) + len(new) > JUDGED:
+            self.judged, self.verdict, new = np.empty(0, np.int64), np.empty(0, bool), codes
         if len(new):
             held = []
             for c in new.tolist():
@@ -134,7 +185,13 @@ class Bpe:
     def learn(self, words: list[str]) -> None:
         """Put these distinct words' ids, as little-endian 32-bit bytes, into the cache."""
         raw = [w.encode("utf-8", "replace") for w in words]
-        tokens = [self.greedy(w) for w in raw]
+        for w, r in zip(words, raw):
+            if len(r) > LONG:
+                self.cache[w] = self.stretches(r).astype("<u4").tobytes()
+        words, raw = [w for w, r in zip(words, raw) if len(r) <= LONG], [r for r in raw if len(r) <= LONG]
+        if not words:
+            return
+        tokens = [list(self.greedy(w)) for w in raw]
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         flat = np.fromiter((t for ts in tokens for t in ts), np.int64, int(sizes.sum()))
         ends = np.cumsum(sizes)
@@ -153,6 +210,7 @@ class Bpe:
                 t = self.merge(r)
                 self.merged += 1
             self.cache[w] = np.array(t, "<u4").tobytes()
+            self.cached += 160 + len(r) + 4 * len(t)
 
     def _parts(self, texts: list[str]) -> Iterator[tuple[int, list[str] | int]]:
         """(number of the text, up to STEP of its words, or an added token's id), in order."""
@@ -182,13 +240,29 @@ class Bpe:
                 for i, ws in held:
                     out[i].append(ws.to_bytes(4, "little") if isinstance(ws, int) else b"".join(map(self.cache.__getitem__, ws)))
                 held = []
-                if len(self.cache) > CACHE_WORDS:  # the older half goes
+                for w in new:
+                    if len(w) > LONG // 4 and len(w.encode("utf-8", "replace")) > LONG:
+                        del self.cache[w]
+                if self.cached > CACHE_BYTES:  # the older half goes
                     for w in list(itertools.islice(self.cache, len(self.cache) // 2)):
                         del self.cache[w]
+                    self.cached //= 2
         return [b"".join(o) for o in out]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        t = np.frombuffer(ids, "<u4")
+        return b"".join(self.spell(t[a : a + STEP].tolist()) for a in range(0, len(t), STEP)).decode("utf-8", "replace")
+
+
+def _check(file: dict) -> None:
+    """Refuse a file that asks for what this module doesn't do."""
+    pre, model = file.get("pre_tokenizer") or {}, file["model"]
+    if file.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("only byte-level files without a normalizer and with the family's own pattern are read")
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("the file's model has settings that plain merging doesn't follow")
+    if any(t.get(k) for t in file.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take blanks or word ends into account are not read")
 
 
 _MADE: dict[int, Bpe] = {}
@@ -202,16 +276,18 @@ def tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         raise ValueError(f"{path} is larger than {MAX_FILE} bytes")
     shipped = docs.sparkSession.sparkContext.broadcast(blob)
 
-    @F.pandas_udf("n_tokens long, ids binary, decoded string")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    lean_batches(docs.sparkSession)
+
+    @F.arrow_udf("n_tokens long, ids binary, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         key = hash(shipped.value)
         if key not in _MADE:
             _MADE.clear()
             _MADE[key] = Bpe(shipped.value)
         bpe = _MADE[key]
-        for s in batches:
-            ids = bpe.encode_batch([t or "" for t in s.tolist()])
-            yield pd.DataFrame({"n_tokens": [len(i) // 4 for i in ids], "ids": ids, "decoded": [bpe.decode(i) for i in ids]})
+        for part in slices(batches, SLICE):
+            ids = bpe.encode_batch([t or "" for t in part.to_pylist()])
+            yield pa.StructArray.from_arrays([pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=["n_tokens", "ids", "decoded"])
 
     new = ("n_tokens", "ids", "decoded")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]

@@ -16,54 +16,83 @@ read by fingerprints(); keep_one() returns them untouched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, pieces, written
+from .common import OWN, lean_batches, pieces, written
 from .components import components
 
 SEED = 42
 #: Fingerprints in a tile at most on average; two tiles are what a task holds.
 TILE = 16384
-_RUN = 256
+#: Rows of a run; runs that one run is compared with at once; links that are held before they are made a forest. These
+#: three bound a task's memory beside its two tiles, however near the fingerprints are.
+_RUN, _SPAN, _HELD = 256, 16, 250_000
+#: Bytes of a text that are cut into words at a time.
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """A text's words, PIECE bytes at a time; a piece ends at white space."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            m = _BLANK.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end].split()
+        at = end
+
+
+def fingerprint(text: str | bytes | None, width: int = 4) -> int:
     """Bit i is set if more than half of the shingles' XXH64 (seed 42) have it set. Only A-Z are lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n, flat = max(1, len(words) - width + 1), b" ".join(words)
-    if n == 1:
-        return xxhash.xxh64_intdigest(flat, SEED)
+    raw = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower()
+    counts, n, before = np.zeros(64, np.int64), 0, []
+    for words in _words(raw):
+        words = before + words
+        if len(words) >= width:
+            n += len(words) - width + 1
+            counts += _counts(words, width)
+            before = words[len(words) - width + 1 :]
+        else:
+            before = words
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(before), SEED) if before else 0
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+
+
+def _counts(words: list[bytes], width: int) -> np.ndarray:
+    """By bit, how many of the words' shingles have it set."""
+    n, flat = len(words) - width + 1, b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[: n - 1])).tolist()
     ends = (ends[width - 1 :] - 1).tolist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
     lanes = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
     if n < 600:
-        counts = np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        counts = np.concatenate([np.bincount(lanes[:, j], minlength=256) @ _BITS for j in range(8)])
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+        return np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.concatenate([np.bincount(lanes[:, j], minlength=256) @ _BITS for j in range(8)])
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, fp long): the fingerprint's 64 bits as a signed long."""
 
-    @F.pandas_udf("long")
-    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    lean_batches(docs.sparkSession)
+
+    @F.arrow_udf("long")
+    def fp(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in texts:
-            yield pd.Series(np.array([fingerprint(t, width) for t in s], dtype=np.uint64).view(np.int64))
+            yield pa.array(np.array([fingerprint(t.as_py(), width) for t in s], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fp(F.col(text_col).cast("binary")).alias("fp"))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +135,17 @@ def tile_links(fa: np.ndarray, fb: np.ndarray | None, radius: int) -> tuple[np.n
             near = near[near >= i]
         if not len(near):
             continue
-        cols = (near[:, None] * _RUN + np.arange(_RUN)).ravel()
-        cols = cols[cols < len(b)]
         rows = np.arange(i * _RUN, min(len(a), (i + 1) * _RUN))
-        x, y = np.nonzero(np.bitwise_count(a[rows][:, None] ^ b[cols][None, :]) <= radius)
-        if len(x):
-            found.append((oa[rows[x]], ob[cols[y]] + shift))
-            held += len(x)
-        if held > 2_000_000:  # large groups: keep a forest of what has been found, not the pairs
-            node, root = _forest(np.concatenate([node, *(f[0] for f in found)]), np.concatenate([root, *(f[1] for f in found)]), n)
-            found, held = [], 0
+        for at in range(0, len(near), _SPAN):
+            cols = (near[at : at + _SPAN, None] * _RUN + np.arange(_RUN)).ravel()
+            cols = cols[cols < len(b)]
+            x, y = np.nonzero(np.bitwise_count(a[rows][:, None] ^ b[cols][None, :]) <= radius)
+            if len(x):
+                found.append((oa[rows[x]], ob[cols[y]] + shift))
+                held += len(x)
+            if held > _HELD:  # large groups: keep a forest of what has been found, not the pairs
+                node, root = _forest(np.concatenate([node, *(f[0] for f in found)]), np.concatenate([root, *(f[1] for f in found)]), n)
+                found, held = [], 0
     return _forest(np.concatenate([node, *(f[0] for f in found)]), np.concatenate([root, *(f[1] for f in found)]), n)
 
 
