@@ -1,7 +1,12 @@
-"""A prompt over the SQL front end: python -m tessera PATH [USER [DATABASE]]. Statements end in a semicolon."""
+"""A prompt over the SQL front end: python -m tessera PATH [USER [DATABASE]]. Statements end in a semicolon.
+
+python -m tessera PATH --dump FOLDER [--schema-only] [--data-only] [--binary], and --restore FOLDER [--dry-run], in place
+of the prompt, write and read dumps; -c 'STATEMENTS' runs statements.
+"""
 
 from __future__ import annotations
 
+import argparse
 import getpass
 import sys
 
@@ -38,13 +43,32 @@ def run(db: Engine, lines, show=print) -> None:
                 show(f"{type(e).__name__}: {str(e).splitlines()[0]}")
 
 
+def arguments(args: list[str]) -> argparse.Namespace:
+    p = argparse.ArgumentParser(prog="tessera", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    p.add_argument("path")
+    p.add_argument("user", nargs="?", default=security.ADMIN)
+    p.add_argument("database", nargs="?", default=security.MAIN)
+    p.add_argument("-c", "--command")
+    p.add_argument("--dump")
+    p.add_argument("--restore")
+    for flag in ("schema-only", "data-only", "binary", "dry-run"):
+        p.add_argument(f"--{flag}", action="store_true")
+    return p.parse_args(args)
+
+
+def work(db: Engine, a: argparse.Namespace, lines, show=print) -> None:
+    if a.dump:
+        show(db.dump(a.dump, a.schema_only, a.data_only, a.binary))
+    elif a.restore:
+        show(db.restore(a.restore, a.dry_run))
+    else:
+        run(db, [a.command + ";"] if a.command else lines, show)
+
+
 def main() -> None:
-    if len(sys.argv) < 2:
-        sys.exit(__doc__)
-    path, user, database = (*sys.argv[1:4], *(None, security.ADMIN, security.MAIN)[len(sys.argv[1:4]) :])
-    password = getpass.getpass() if user != security.ADMIN else None
-    db = Engine(SparkSession.builder.getOrCreate(), path, user, password, database)
-    run(db, sys.stdin)
+    a = arguments(sys.argv[1:])
+    password = getpass.getpass() if a.user != security.ADMIN else None
+    work(Engine(SparkSession.builder.getOrCreate(), a.path, a.user, password, a.database), a, sys.stdin)
 
 
 if __name__ == "__main__":

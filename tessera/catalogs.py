@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 FIRST_TABLE, FIRST_INDEX, FIRST_ROLE, PUBLIC = 16384, 17000, 10, 2200
 
+#: information_schema.x is bound under this prefix, as Spark SQL would take the schema for a database.
+PREFIX = "information_schema_"
+# Fixed value: the object id of the first database.
+FIRST_DATABASE = 13442
 # Object id, name and length of the types that clients ask for (-1: of any length).
 PG_TYPES = [
     (16, "bool", 1), (17, "bytea", -1), (20, "int8", 8), (21, "int2", 2), (23, "int4", 4), (25, "text", -1), (114, "json", -1), (700, "float4", 4), (701, "float8", 8),
@@ -57,7 +61,7 @@ def pg_namespace(m, s, db):
 
 def pg_database(m, s, db):
     who = _members(s)
-    return "oid long, datname string, datdba long, encoding string", [(13442 + i, n, who.get(d["owner"], FIRST_ROLE), "UTF8") for i, (n, d) in enumerate(s["databases"].items())]
+    return "oid long, datname string, datdba long, encoding string", [(FIRST_DATABASE + i, n, who.get(d["owner"], FIRST_ROLE), "UTF8") for i, (n, d) in enumerate(s["databases"].items())]
 
 
 def pg_roles(m, s, db):

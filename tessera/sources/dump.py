@@ -1,21 +1,24 @@
 """Dump and restore of a database: a folder with its definitions as SQL, and its rows as SQL or as Parquet.
 
-Rows of each table are written by the executors. Restoring rows as SQL goes through the driver, in batches, as any client's
-statements would; the binary form is read back by the executors and is the one for large tables.
+Rows of each table are written by the executors, and read back by them: in SQL form, each line is one INSERT, whose
+literals are taken apart where the line is read. Only definitions pass through the driver.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.errors import ParseError
 from tessera.sources import store
 
-#: Rows of one INSERT statement of a restore.
-BATCH = 1000
+# A literal of a dumped row: a quoted text, bytes in hexadecimal, or a word or number.
+_LITERAL = re.compile(r"X'([0-9A-F]*)'|'((?:[^'\\]|''|\\.)*)'|([^,' ][^,']*)", re.S)
+_ESCAPE = re.compile(r"''|\\(.)", re.S)
 
 
 def statements(text: str) -> Iterator[str]:
@@ -58,9 +61,54 @@ def _in_order(tables: dict) -> list[str]:
     return done
 
 
+def _quoted(v: str) -> str:
+    doubled = v.replace("'", "''")
+    return f"'{doubled}'"
+
+
+def values_of(line: str, head: str) -> list[str | None]:
+    """The values of one dumped INSERT as texts; bytes as hexadecimal digits."""
+    if not line.startswith(head) or not line.endswith(");"):
+        raise ParseError(line[:100])
+    out, at, end = [], len(head), len(line) - 2
+    while at < end:
+        m = _LITERAL.match(line, at, end)
+        if not m:
+            raise ParseError(line[:100])
+        plain = m[2] is not None and _ESCAPE.sub(lambda e: "'" if e[1] is None else {"n": "\n", "r": "\r"}.get(e[1], e[1]), m[2])
+        out.append(m[1] if m[1] is not None else plain if m[2] is not None else None if m[3] == "NULL" else m[3])
+        at = m.end()
+        if at < end:
+            if not line.startswith(", ", at):
+                raise ParseError(line[:100])
+            at += 2
+    return out
+
+
+def _rows(spark, path: str, columns: list[dict]):
+    """The rows of a table's dump in SQL form, by the dump's columns, and these columns' names; None for a table without rows."""
+    lines = spark.read.text(path)
+    first = lines.first()
+    if first is None:
+        return None
+    head, mark, _ = first["value"].partition(") VALUES (")
+    if not mark:
+        raise ParseError(first["value"][:100])
+    names, head = [n.strip() for n in head.partition("(")[2].split(",")], head + mark
+    kinds = {c["name"]: c["spark"] for c in columns}
+
+    @F.pandas_udf("array<string>")
+    def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([values_of(x, head) for x in s], dtype=object)
+
+    parts = lines.select(values("value").alias("v"))
+    return parts.select(*[(F.unhex(F.get("v", i)) if kinds.get(n) == "binary" else F.get("v", i)).alias(f"c{i}") for i, n in enumerate(names)]), names
+
+
 def definitions(m: dict) -> Iterator[str]:
     for n, values in m["types"].items():
-        yield f"CREATE TYPE {n} AS ENUM ({', '.join(repr(v) for v in values)})"
+        yield f"CREATE TYPE {n} AS ENUM ({', '.join(_quoted(v) for v in values)})"
     for n in _in_order(m["tables"]):
         cols = []
         for c in m["tables"][n]["columns"]:
@@ -119,17 +167,8 @@ def restore(engine, path: str, dry_run: bool) -> str:
         if folder.endswith(".parquet"):
             engine.append(name, engine.spark.read.parquet(f"{path}/data/{folder}"))
             continue
-        head, held = "", []
-        for r in engine.spark.read.text(f"{path}/data/{folder}").toLocalIterator():
-            head, mark, row = r["value"].partition(") VALUES ")
-            if not mark:
-                raise ParseError(r["value"][:100])
-            held.append(row.removesuffix(";"))
-            if len(held) == BATCH:
-                engine.sql(f"{head}) VALUES {', '.join(held)}")
-                held = []
-        if held:
-            engine.sql(f"{head}) VALUES {', '.join(held)}")
+        if found := _rows(engine.spark, f"{path}/data/{folder}", engine._meta(engine._manifest(), name)["columns"]):
+            engine.append(name, *found)
     for s in late:
         engine.sql(s)
     return f"RESTORE {len(defined)} definitions, {len(data)} tables"

@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 
+from tessera import __main__ as client
 from tessera import errors
 from tessera.__main__ import run
 from tessera.engine import Engine
@@ -351,3 +352,146 @@ def test_conditions_of_writes_follow_compat(nulls, compat, left):
     assert db.sql("UPDATE a SET s = 'seen' WHERE s = 'z' AND k != 7") == f"UPDATE {int(compat)}"
     db.sql("DELETE FROM a WHERE k NOT IN (SELECT x FROM b WHERE x = 1)" if compat else "DELETE FROM a WHERE k != 1")
     assert sorted(map(tuple, db.sql("SELECT k FROM a").collect()), key=str) == sorted(left, key=str)
+
+
+def test_names_reach_only_what_the_user_may_read(db, spark):
+    db.sql("CREATE TABLE secret (id INTEGER)")
+    db.sql("INSERT INTO secret VALUES (1)")
+    db.sql("CREATE TABLE open (secret INTEGER)")
+    db.sql("CREATE USER ann WITH PASSWORD 'pw'")
+    db.sql("GRANT CONNECT ON DATABASE postgres TO ann")
+    db.sql("GRANT SELECT ON open TO ann")
+    spark.range(3).createOrReplaceTempView("hosts_own")
+    kept = db.sql("SELECT * FROM secret")
+    part = db._manifest()["tables"]["secret"]["parts"][0]["name"]
+    ann = Engine(spark, db.root, user="ann", password="pw")
+    for text in ("SELECT * FROM secret", "SELECT (SELECT max(id) FROM secret) AS m", "WITH q AS (SELECT * FROM secret) SELECT * FROM q", "SELECT secret FROM open UNION SELECT id FROM Secret"):
+        with pytest.raises(errors.PermissionDenied):
+            ann.sql(text)
+    for who in (ann, db):
+        for text in ("SELECT * FROM hosts_own", f"SELECT * FROM parquet.`{db.path}/data/{part}`", "SELECT * FROM default.secret"):
+            with pytest.raises(errors.TableNotFound):
+                who.sql(text)
+    with pytest.raises(errors.EngineError):
+        db.sql("WITH q AS (SELECT 1) INSERT INTO secret SELECT * FROM q")
+    # a column of a table's name needs no right to that table, nor does a WITH of a name of its own
+    assert ann.sql("SELECT secret FROM open").count() == 0 and ann.sql("WITH mine AS (SELECT 1 AS x) SELECT x FROM mine").count() == 1
+    db.sql("CREATE DATABASE shop WITH OWNER ann")
+    with pytest.raises(errors.TableNotFound):
+        Engine(spark, db.root, user="ann", database="shop").sql("SELECT * FROM secret")
+    assert not spark.catalog.tableExists("secret") and spark.table("hosts_own").count() == 3
+    db.sql("ALTER TABLE secret RENAME TO hidden")
+    db.sql("DROP TABLE open")
+    for n in ("secret", "open"):
+        with pytest.raises(errors.TableNotFound):
+            db.sql(f"SELECT * FROM {n}")
+    assert rows(db.sql("SELECT * FROM hidden")) == rows(kept) == [(1,)]
+    spark.catalog.dropTempView("hosts_own")
+
+
+def test_words_inside_texts(db):
+    db.sql("CREATE TABLE t (id INTEGER, note TEXT)")
+    db.sql("INSERT INTO t VALUES (1, 'a'), (2, 'where x or y')")
+    assert db.sql("UPDATE t SET note = 'go where it is' WHERE id = 1") == "UPDATE 1"
+    assert db.sql("UPDATE t SET id = (SELECT max(id) FROM t WHERE id > 0) + 1 WHERE note = 'where x or y'") == "UPDATE 1"
+    assert rows(db.table("t")) == [(1, "go where it is"), (3, "where x or y")]
+    db.sql("CREATE INDEX by_note ON t (note)")
+    assert "Index Scan using by_note" in db.sql("EXPLAIN SELECT * FROM t WHERE note = 'this or that' ORDER BY id LIMIT 3")
+    assert "Index Cond: note = 'group by'\n" in db.sql("EXPLAIN SELECT * FROM t WHERE note = 'group by' GROUP BY id, note")
+
+
+def test_added_columns_keep_their_constraints(db):
+    db.sql("CREATE TABLE p (id INTEGER PRIMARY KEY)")
+    db.sql("INSERT INTO p VALUES (1), (2)")
+    for c in ("v VARCHAR(3)", "u INTEGER UNIQUE", "n TEXT NOT NULL", "d DOUBLE PRECISION", "f INTEGER REFERENCES p(id)", "s SERIAL"):
+        db.sql(f"ALTER TABLE p ADD COLUMN {c}")
+    assert db.sql("INSERT INTO p (id, v, u, n, d, f) VALUES (3, 'abc', 1, 'x', 1.5, 1)") == "INSERT 1"
+    for values, error in (("(4, 'toolong', 2, 'x', 1, 1)", errors.TypeMismatch), ("(4, 'a', 1, 'x', 1, 1)", errors.UniqueViolation), ("(4, 'a', 2, NULL, 1, 1)", errors.NotNullViolation), ("(4, 'a', 2, 'x', 1, 9)", errors.ForeignKeyViolation)):
+        with pytest.raises(error):
+            db.sql(f"INSERT INTO p (id, v, u, n, d, f) VALUES {values}")
+    assert [r["s"] for r in db.table("p").orderBy("id").collect()] == [None, None, 1]
+    with pytest.raises(errors.TypeMismatch):
+        db.sql("ALTER TABLE p ADD COLUMN z NOTYPE")
+
+
+def test_uniqueness_reads_near_keys_only(db, spark):
+    db.sql("CREATE TABLE t (id INTEGER PRIMARY KEY)")
+    db.append("t", spark.range(5000).toDF("id"))
+    assert db.append("t", spark.range(5000, 9000).toDF("id")) == "INSERT 4000"
+    for frame in (spark.range(8999, 11000), spark.range(17, 18)):
+        with pytest.raises(errors.UniqueViolation):
+            db.append("t", frame.toDF("id"))
+    old = db._frame(db._manifest()["tables"]["t"])
+    plan = db._near(spark.range(3).toDF("id"), old, "id", 3)._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(" in plan or "In(id" in plan or "In(" in plan
+
+
+def test_sql_restore_of_odd_texts(db, spark, tmp_path):
+    db.sql("CREATE TYPE mood AS ENUM ('it''s', 'a, b')")
+    db.sql("CREATE TABLE t (id INTEGER, s TEXT, m mood, x BYTEA)")
+    texts = ["'", "''", "a, b", "NULL", "\\", "\\n", "line\nend\r", ") VALUES (", ");", "X'00'", "", None, " -- no; comment", "é\U0001f600"]
+    db.append("t", spark.createDataFrame([(i, s, "it's" if i % 2 else "a, b", None if s is None else s.encode()) for i, s in enumerate(texts)], "id long, s string, m string, x binary"))
+    db.sql("CREATE TABLE empty (id INTEGER)")
+    db.dump(f"file://{tmp_path}/d")
+    db.sql("CREATE DATABASE again")
+    again = Engine(spark, db.root, database="again")
+    again.restore(f"file://{tmp_path}/d")
+    assert sorted(map(repr, again.table("t").collect())) == sorted(map(repr, db.table("t").collect()))
+    assert again._manifest()["types"]["mood"] == ["it's", "a, b"] and again.table("empty").count() == 0
+    assert dump.values_of("INSERT INTO t (a) VALUES (1, 'x'', \\\\y', NULL, X'0A');", "INSERT INTO t (a) VALUES (") == ["1", "x', \\y", None, "0A"]
+    with pytest.raises(errors.ParseError):
+        dump.values_of("INSERT INTO u (a) VALUES (1);", "INSERT INTO t (a) VALUES (")
+
+
+def test_describe_and_bind(db):
+    db.sql("CREATE TABLE t (id INTEGER, s TEXT)")
+    db.parse("put", "INSERT INTO t VALUES ($1, $2)", ["integer"])
+    assert db.describe("put") == (["integer", "text"], [])
+    assert db.bind("", "put", [1, "it's $1"]) == "BIND" and db.run("") == "INSERT 1" and db.run("") == "INSERT 1"
+    db.parse("get", "SELECT s, count(*) FROM t WHERE id = $1 GROUP BY s", ["bigint"])
+    assert db.describe("get") == (["bigint"], [("s", "string"), ("count", "bigint")])
+    db.bind("q", "get", [1])
+    assert db.describe("q")[1] == db.describe("get")[1] and rows(db.run("q")) == [("it's $1", 2)]
+    with pytest.raises(errors.ParseError):
+        db.bind("q", "get", [1, 2])
+    with pytest.raises(errors.TypeMismatch):
+        db.parse("x", "SELECT $1", ["notype"])
+    assert db.close("get") == "CLOSE" and "q" not in db.portals
+    for gone in (lambda: db.describe("get"), lambda: db.run("q"), lambda: db.bind("q", "get", [1])):
+        with pytest.raises(errors.ParseError):
+            gone()
+
+
+def test_client_arguments(db, spark, tmp_path):
+    out = []
+    db.sql("CREATE TABLE t (id INTEGER)")
+    db.sql("INSERT INTO t VALUES (5)")
+    client.work(db, client.arguments([db.root, "--dump", f"file://{tmp_path}/d", "--binary"]), [], out.append)
+    db.sql("CREATE DATABASE two")
+    two = Engine(spark, db.root, database="two")
+    client.work(two, client.arguments([db.root, "postgres", "two", "--restore", f"file://{tmp_path}/d"]), [], out.append)
+    client.work(two, client.arguments([db.root, "-c", "DELETE FROM t"]), [], out.append)
+    assert out[0] == "DUMP 1" and out[1].startswith("RESTORE 1") and out[2] == "DELETE 1"
+    assert two.script("INSERT INTO t VALUES (7); SELECT * FROM t").first()[0] == 7
+
+
+def test_indexes_lay_out_parts_that_are_there(db, spark):
+    db.sql("CREATE TABLE t (id INTEGER, v TEXT)")
+    db.append("t", spark.range(3000).selectExpr("(id * 7919) % 3000 as id", "'x' as v").repartition(3))
+    db.sql("CREATE INDEX by_id ON t (id)")
+    part = db._manifest()["tables"]["t"]["parts"]
+    assert len(part) == 1 and part[0]["rows"] == 3000
+    stored = db._manifest()["tables"]["t"]["columns"][0]["stored"]
+    ranges = spark.read.parquet(f"{db.path}/data/{part[0]['name']}").groupBy("_metadata.file_name").agg({stored: "min"}).count()
+    assert ranges >= 1 and rows(db.sql("SELECT id FROM t WHERE id BETWEEN 5 AND 7")) == [(5,), (6,), (7,)]
+
+
+def test_names_of_joined_columns(db, spark):
+    db.sql("CREATE TABLE a (k INTEGER, s TEXT)")
+    db.sql("CREATE TABLE b (k INTEGER, t TEXT)")
+    db.sql("INSERT INTO a VALUES (1, 'x')")
+    db.sql("INSERT INTO b VALUES (1, 'y')")
+    compat = Engine(spark, db.root, compat=True)
+    for text, names in (("SELECT * FROM a JOIN b ON a.k = b.k", ["a.k", "a.s", "b.k", "b.t"]), ("SELECT * FROM a x LEFT JOIN b AS y ON x.k = y.k", ["a.k", "a.s", "b.k", "b.t"]), ("SELECT a.s, t FROM a JOIN b ON a.k = b.k", ["a.s", "t"]), ("SELECT * FROM a", ["k", "s"])):
+        assert compat.sql(text).columns == names and compat.sql(text).count() == 1
+    assert db.sql("SELECT a.s, t FROM a JOIN b ON a.k = b.k").columns == ["s", "t"]
