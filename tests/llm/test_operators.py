@@ -1,6 +1,7 @@
 """Brute force, exact round trips and held-out accuracy for the training-data operators, and their defined edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -355,3 +356,69 @@ def test_wrappers_around_the_article():
         held = wrappers.align(held, wrappers.page_wrapper(page))
     got = [wrappers.text_of(page, wrappers.decide(held)) for page in made]
     assert got == [f"title {i} {'text ' * i}of {i}" for i in range(1, 9)] + ["title 9 other text"]
+
+
+def _extracted(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+
+
+def test_wrappers_decide_without_names(spark):
+    """Sites whose tags and names tell nothing, through extract(), against the texts they were made of. A page alone can't be judged."""
+    r, pages, want, alone = random.Random(21), [], {}, 0
+    for site in range(6):
+        tags = r.sample(["div", "section", "td", "center", "dd"], 3)
+        notices = [_prose(r, 30) for _ in range(2)]
+        for i in range(12):
+            page = site * 100 + i
+            parts = [_prose(r, 5), *[_prose(r, r.randrange(20, 40)) for _ in range(3)]]
+            body = f"<h2>{parts[0]}</h2>" + "".join(f"<p>{p}</p>" for p in parts[1:])
+            html = f"<body><{tags[0]}><{tags[0]}>{notices[i % 2]}</{tags[0]}><{tags[1]}>{body}</{tags[1]}><{tags[2]}>{_prose(random.Random(site), 25)}</{tags[2]}></{tags[0]}></body>"
+            pages.append((page, f"http://site{site}.org/{i}", html))
+            want[page] = " ".join(parts)
+            alone += wrappers.text_of(html, None) == want[page]
+    assert _extracted(spark, pages) == want and alone < len(pages) / 4
+
+
+def test_wrappers_decide_against_misleading_names(spark):
+    """The article stands in a group named as boilerplate, and a promotion of the template in one named as the article."""
+    r, pages, want = random.Random(22), [], {}
+    for i in range(10):
+        parts = [_prose(r, 5), *[_prose(r, r.randrange(15, 60)) for _ in range(4)]]
+        inner = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{p}</p>" for p in parts[1:])
+        pages.append((i, f"https://odd.example.com/{i}", f"<body><article class='post'><p>Join our club today, and save on everything you buy</p></article><div class='sidebar-widget'>{inner}</div><footer>odd</footer></body>"))
+        want[i] = " ".join(parts)
+    assert _extracted(spark, pages) == want
+    assert wrappers.text_of(pages[0][2], None) != want[0]
+
+
+def test_wrappers_of_a_host_that_copies_its_article(spark):
+    page = "<body><nav><a href=/>x</a></nav><div class=ad>{}</div><article><h1>same title</h1><p>the same text on all of the pages</p></article></body>"
+    r = random.Random(23)
+    got = _extracted(spark, [(i, "http://copies.org/", page.format(_prose(r, 3))) for i in range(20)])
+    assert set(got.values()) == {"same title the same text on all of the pages"}
+
+
+def test_wrappers_of_deep_wide_and_repeated_pages(spark):
+    deep = "<div>" * 20_000 + "down there" + "</div>" * 20_000
+    many = "<body>" + "".join(f"<div class=k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}><p>part {i}</p></div>" for i in range(3000))
+    long = "<article>" + "<p>word and word</p>" * 50_000 + "</article>"
+    pages = [(1, "http://d.org/1", deep), (2, "http://d.org/2", deep), (3, "http://d.org/3", "<p>" * 3000 + "<span>" * 3000 + "x"), (4, "http://w.org/1", many), (5, "http://w.org/2", many[::1] + "<div class=zz><p>end</p></div>"), (6, "http://l.org", long), (6, "http://l.org", long)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [(r["page_id"], r["text"]) for r in wrappers.extract(df).collect()]
+    by = dict(got)
+    assert len(got) == 7 and by[1] == by[2] == "down there" and by[3] == "x" and by[4] == " ".join(f"part {i}" for i in range(3000))
+    assert by[5] == by[4] + " end" and by[6] == " ".join(["word and word"] * 50_000)
+
+
+def test_wrappers_match_parts_like_brute_force():
+    r = random.Random(24)
+    for _ in range(300):
+        xs, ys = ("".join(r.choice("abcd") for _ in range(r.randrange(9))) for _ in range(2))
+        best = max(n for n in range(10) for _ in [0] if any(all(c in iter_ for c in pick) for pick in itertools.combinations(xs, n) for iter_ in [iter(ys)])) if xs else 0
+        pairs = list(wrappers._matched(list(xs), list(ys)))
+        assert all(xs[i] == ys[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:])) and len(pairs) == best
+        wrappers.ALIGN, kept = -1, wrappers.ALIGN
+        greedy = list(wrappers._matched(list(xs), list(ys)))
+        wrappers.ALIGN = kept
+        assert all(xs[i] == ys[j] for i, j in greedy) and all(a < c and b < d for (a, b), (c, d) in zip(greedy, greedy[1:]))
