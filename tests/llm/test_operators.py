@@ -422,3 +422,67 @@ def test_wrappers_match_parts_like_brute_force():
         greedy = list(wrappers._matched(list(xs), list(ys)))
         wrappers.ALIGN = kept
         assert all(xs[i] == ys[j] for i, j in greedy) and all(a < c and b < d for (a, b), (c, d) in zip(greedy, greedy[1:]))
+
+
+def _clustered(n, d, groups, hot, seed):
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((groups, d))
+    which = np.where(rng.random(n) < hot, 0, rng.integers(0, groups, n))
+    v = middle[which] + 0.25 * rng.standard_normal((n, d))
+    return (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+
+
+def _recall(got, v, every, k=20):
+    hit = []
+    for i in range(0, len(v), every):
+        p = v.astype(float) @ v[i].astype(float)
+        p[i] = -np.inf
+        hit.append(len(set(got[i]) & set(np.argsort(-p, kind="stable")[:k].tolist())) / k)
+    return np.mean(hit)
+
+
+@pytest.mark.parametrize("make", [lambda: _clustered(12_000, 32, 1, 0, 1), lambda: _clustered(12_000, 24, 400, 0, 2), lambda: _clustered(12_000, 24, 300, 0.33, 3)])
+def test_forest_recall_through_blocks(spark, monkeypatch, make):
+    """Without a least number of candidates, over many blocks of each tree, many row blocks and small groups of queries."""
+    for name, x in (("BLOCK", 1500), ("ROW_BYTES", 300_000), ("ASKS", 40)):
+        monkeypatch.setattr(forest, name, x)
+    v = make()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in forest.nearest(df, k=20, every=60, least=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert abs(r["score"] - float(v[r["query_id"]].astype(float) @ v[r["vec_id"]].astype(float))) < 1e-9
+    assert all(len(x) == 20 for x in got.values()) and _recall(got, v, 60) >= 0.9
+
+
+def test_forest_candidates_follow_the_data_not_the_table():
+    """On clustered vectors a small part of the table is enough, and less of it the larger it is; best_of is held against brute force."""
+    met = {}
+    for n in (2000, 8000):
+        v = _clustered(n, 24, n // 25, 0, 4).astype(float)
+        f = forest.Forest(v, 1 + 1e-6, 20, n)
+        s, q = f.strings(v), np.arange(0, n, 40)
+        depth = f.ascend(s[:, q], f.counted(s), n)
+        a, ids, score = forest.best_of(q, depth, s[:, q], v[q], v, s, np.arange(n), np.ones(n, int), 20)
+        under = np.any([(s[t] >> (forest.DEPTH - depth)[:, None]) == (s[t][q] >> (forest.DEPTH - depth))[:, None] for t in range(forest.TREES)], axis=0)
+        met[n] = under.sum(axis=1).mean()
+        for j, i in enumerate(q):
+            rows = np.flatnonzero(under[j])
+            want = sorted((-(v[i] * v[x]).sum(), x) for x in rows)[:21]
+            assert [(-p, x) for p, x in zip(score[a == i], ids[a == i])] == want
+        got = {i: ids[a == i][ids[a == i] != i][:20] for i in q}
+        assert _recall(got, v, 40) >= 0.9
+    assert met[8000] / 8000 < 0.9 * met[2000] / 2000 and met[8000] < 400
+
+
+def test_forest_prefixes_like_brute_force():
+    r = random.Random(5)
+    array = np.sort(np.array([r.getrandbits(62) >> r.randrange(40) for _ in range(300)], np.int64))
+    q = np.array([r.getrandbits(62) >> r.randrange(40) for _ in range(20)] + array[:5].tolist(), np.int64)
+    bits = lambda x: f"{x:062b}"
+    c = forest.Forest.descend(array, q)
+    for i, x in enumerate(q.tolist()):
+        for d in (0, 1, 7, 30, 61, 62):
+            assert c[i, d] == sum(bits(y)[:d] == bits(x)[:d] for y in array.tolist())
+    longest = lambda x, y: next((i for i, (a, b) in enumerate(zip(bits(x), bits(y))) if a != b), 62)
+    assert forest.common(q[:1].repeat(8), np.tile(array, (8, 1))).tolist() == [min(longest(int(q[0]), y), 62) for y in array.tolist()]
