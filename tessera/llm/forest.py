@@ -205,17 +205,12 @@ def _true_nearest(hashed: DataFrame, asks: pd.DataFrame, k: int) -> DataFrame:
     return found.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
 
 
-def _dealt(counts: DataFrame, keys: list[str], size: int) -> dict[tuple, int]:
-    """Into how many parts the rows of each key go, by its count; a row a key, of which there are few."""
-    return {tuple(r[c] for c in keys): -(-r["n"] // size) for r in counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
-def _parts(cuts: dict[tuple, int], index, width: int, value):
-    """A column: which part of its key a row goes to, by a hash of `value`. index: the key's place, below width."""
-    table = [1] * width
-    for key, n in cuts.items():
-        table[key[0] if len(key) == 1 else key[0] * QUANTILES + key[1]] = n
-    return F.pmod(F.xxhash64(value, F.lit("part")), F.element_at(F.lit(table), index.cast("int") + 1)).cast("int"), F.element_at(F.lit(table), index.cast("int") + 1)
+def _dealt(df: DataFrame, keys: list[str], size: int, value, name: str, few: bool = True) -> DataFrame:
+    """df with `name`: which part of its key a row goes to, by a hash of `value`; a key has a part for each `size` of its rows.
+    few: there are TREES * QUANTILES keys at most, whose counts may be broadcast."""
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("parts")).where("parts > 1")
+    out = df.join(F.broadcast(counts) if few else counts, keys, "left")
+    return out.withColumn(name, F.pmod(F.xxhash64(value, F.lit("part")), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", least: int = LEAST) -> DataFrame:
@@ -243,15 +238,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     hashed = written(entries.select("v", "ids", place("v").alias("h")).select("v", "ids", "h.*"), "strings")
     d = len(rows[0])
     # row blocks
-    cut, _ = _parts(_dealt(hashed, ["rq"], max(1, 2 * ROW_BYTES // (8 * d))), F.col("rq"), QUANTILES, F.col("v"))
-    hashed = hashed.withColumn("rb", F.col("rq") * 65536 + cut)
+    hashed = _dealt(hashed, ["rq"], max(1, 2 * ROW_BYTES // (8 * d)), F.col("v"), "cut").withColumn("rb", F.col("rq") * 65536 + F.col("cut"))
     packs = written(hashed.groupBy("rb").agg(F.collect_list(F.struct("v", "ids", "s")).alias("x")).select("rb", F.col("x.v").alias("v"), F.col("x.ids").alias("ids"), F.col("x.s").alias("s")), "packs")
     # trees: sorted arrays of strings, each with the row block of its vector
     tree = lambda df, *cols: df.select(*cols, F.posexplode(F.arrays_zip("s", "tb")).alias("t", "x")).select(*cols, "t", "x.s", "x.tb")
     strings = tree(hashed, "rb")
-    cuts = _dealt(strings, ["t", "tb"], 2 * BLOCK)
-    sub, subs = _parts(cuts, F.col("t") * QUANTILES + F.col("tb"), TREES * QUANTILES, F.col("s") + F.col("rb"))
-    arrays = strings.withColumn("sub", sub).groupBy("t", "tb", "sub").agg(F.sort_array(F.collect_list(F.struct("s", "rb"))).alias("x"))
+    arrays = _dealt(strings, ["t", "tb"], 2 * BLOCK, F.col("s") + F.col("rb"), "sub").groupBy("t", "tb", "sub").agg(F.sort_array(F.collect_list(F.struct("s", "rb"))).alias("x"))
     arrays = written(arrays.select("t", "tb", "sub", F.col("x.s").alias("array"), F.col("x.rb").alias("rbs")), "trees")
     # a vector may have more ids than its smallest: which of them ask is told by the rows themselves
     wanted = vectors.where(F.col(id_col).cast("long") % every == 0).select(F.col(id_col).cast("long").alias("query_id"), _vector(vectors, vec_col).alias("v")).distinct()
@@ -262,10 +254,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     def met(rows_: DataFrame, *cols: str) -> DataFrame:
         """A row for each block of a tree and at most about ASKS of the asks whose own block it is, all in arrays."""
         each = tree(rows_, "a", *cols)
-        chunk, _ = _parts(_dealt(each, ["t", "tb"], ASKS), F.col("t") * QUANTILES + F.col("tb"), TREES * QUANTILES, F.col("a"))
-        each = each.withColumn("chunk", chunk).withColumn("sub", F.explode(F.sequence(F.lit(0), subs - 1)))
-        packed = each.groupBy("t", "tb", "sub", "chunk").agg(F.collect_list(F.struct("a", "s", *cols)).alias("x"))
-        return packed.select("t", "tb", "sub", *[F.col(f"x.{c}").alias(c) for c in ("a", "s", *cols)]).join(arrays, ["t", "tb", "sub"])
+        packed = _dealt(each, ["t", "tb"], ASKS, F.col("a"), "chunk").groupBy("t", "tb", "chunk").agg(F.collect_list(F.struct("a", "s", *cols)).alias("x"))
+        return packed.select("t", "tb", *[F.col(f"x.{c}").alias(c) for c in ("a", "s", *cols)]).join(arrays, ["t", "tb"])
 
     def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = forest.value
@@ -303,10 +293,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     blocks = [r["rb"] for r in packs.select("rb").collect()]
     to = met(asks.where("not wide"), "d").mapInPandas(route, "a long, rb int").distinct()
-    to = written(to.unionByName(asks.where("wide").select("a", F.explode(F.lit(blocks).cast("array<int>")).alias("rb"))), "routes")
-    groups = _dealt(to, ["rb"], ASKS)
-    chunks = F.element_at(F.create_map(*[F.lit(x) for (rb,), m in groups.items() if m > 1 for x in (rb, m)]), F.col("rb")) if any(m > 1 for m in groups.values()) else F.lit(None)
-    sent = to.withColumn("chunk", F.pmod(F.xxhash64("a"), F.coalesce(chunks, F.lit(1)))).join(asks.select("a", "d", F.col("s").alias("qs"), F.col("v").alias("qv")), "a")
+    to = written(to.unionByName(asks.where("wide").select("a", F.explode(F.from_json(F.lit(str(blocks)), "array<int>")).alias("rb"))), "routes")
+    sent = _dealt(to, ["rb"], ASKS, F.col("a"), "chunk", few=False).join(asks.select("a", "d", F.col("s").alias("qs"), F.col("v").alias("qv")), "a")
     sent = sent.groupBy("rb", "chunk").agg(F.collect_list(F.struct("a", "d", "qs", "qv")).alias("x")).select("rb", *[F.col(f"x.{c}").alias(c) for c in ("a", "d", "qs", "qv")])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
