@@ -13,8 +13,8 @@ Texts are split at the file's added tokens first, as its own library does. The v
 is read by the driver and broadcast, so executors need no file of their own. Files whose settings ask for another way of
 cutting or normalising texts are refused.
 
-Memory: a batch is worked through in slices of about SLICE bytes, the cache of words holds at most CACHE_BYTES, the table
-of judged pairs JUDGED entries; words over LONG bytes are never cached. What is left grows with the longest single text.
+Memory: a batch is worked through in slices of about SLICE bytes, the cache of words holds at most CACHE_BYTES and goes
+when a partition ends, the table of judged pairs holds JUDGED entries; words over LONG bytes are never cached. What is left grows with the longest single text.
 
 Defined cases: a null text is encoded as the empty text, which has no tokens. Texts of any length are encoded whole.
 Repeated rows and null ids are encoded like others; an empty table gives an empty result. Other columns pass through, but
@@ -39,7 +39,7 @@ from .common import lean_batches, slices
 # Fixed value: the pattern by which byte-level vocabularies of this family cut text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of cached words, by estimate; pairs that are remembered; bytes of a batch that are worked on at a time.
-CACHE_BYTES, JUDGED, SLICE = 64 << 20, 1 << 21, 1 << 20
+CACHE_BYTES, JUDGED, SLICE = 96 << 20, 1 << 21, 1 << 20
 #: Bytes beyond which a word is merged by stretches, and tokens in a stretch at first.
 LONG, STRETCH = 1024, 32
 #: Bytes up to which merging scans a list; beyond, it keeps a heap. A rank larger than any.
@@ -69,6 +69,10 @@ class Bpe:
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.added = {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
+        # all tokens' bytes one after the other, and where each begins and how long it is
+        known = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.flat, self.size = np.frombuffer(b"".join(known), np.uint8), np.fromiter(map(len, known), np.int64, len(known))
+        self.start = np.cumsum(self.size) - self.size
         self.longest: dict[bytes, int] = {}  # by a token's first four bytes, the longest token that begins so
         for b in self.ids:
             if len(b) >= 4:
@@ -77,8 +81,10 @@ class Bpe:
         self.first = [self.ids[bytes([b])] for b in range(256)]
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        # two generations of words: those met since the last change, and those met in the one before
         self.cache: dict[str, bytes] = {}
-        self.cached = 0  # bytes, by estimate
+        self.older: dict[str, bytes] = {}
+        self.cached = 0  # bytes of the first, by estimate
         self.judged, self.verdict = np.empty(0, np.int64), np.empty(0, bool)
         self.merged = 0
 
@@ -235,6 +241,11 @@ class Bpe:
                 held.append(part)
             if part is None or sum(len(w) for _, w in held[-1:] if isinstance(w, list)) >= STEP or len(held) >= 256:
                 new = dict.fromkeys(w for _, ws in held if isinstance(ws, list) for w in ws if w not in self.cache)
+                for w in list(new):
+                    if (known := self.older.pop(w, None)) is not None:
+                        self.cache[w] = known
+                        self.cached += 160 + len(w) + len(known)
+                        del new[w]
                 if new:
                     self.learn(list(new))
                 for i, ws in held:
@@ -243,15 +254,22 @@ class Bpe:
                 for w in new:
                     if len(w) > LONG // 4 and len(w.encode("utf-8", "replace")) > LONG:
                         del self.cache[w]
-                if self.cached > CACHE_BYTES:  # the older half goes
-                    for w in list(itertools.islice(self.cache, len(self.cache) // 2)):
-                        del self.cache[w]
-                    self.cached //= 2
+                if 2 * self.cached > CACHE_BYTES:
+                    self.cache, self.older, self.cached = {}, self.cache, 0
         return [b"".join(o) for o in out]
 
     def decode(self, ids: bytes) -> str:
-        t = np.frombuffer(ids, "<u4")
-        return b"".join(self.spell(t[a : a + STEP].tolist()) for a in range(0, len(t), STEP)).decode("utf-8", "replace")
+        t, out = np.frombuffer(ids, "<u4"), []
+        for at in range(0, len(t), STEP):
+            some = t[at : at + STEP]
+            size = self.size[some]
+            end = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.start[some] - end + size, size) + np.arange(end[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
+
+    def forget(self) -> None:
+        """Give the cached words' memory back."""
+        self.cache, self.older, self.cached = {}, {}, 0
 
 
 def _check(file: dict) -> None:
@@ -288,6 +306,7 @@ def tokens(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for part in slices(batches, SLICE):
             ids = bpe.encode_batch([t or "" for t in part.to_pylist()])
             yield pa.StructArray.from_arrays([pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=["n_tokens", "ids", "decoded"])
+        bpe.forget()
 
     new = ("n_tokens", "ids", "decoded")
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
