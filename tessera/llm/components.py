@@ -15,9 +15,8 @@ from .common import drop_written, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long), any direction, repeats and loops allowed -> (node, root) for every node on a proper edge.
-
-    root is the smallest node of the component. Nulls join nothing. An empty table gives an empty table.
+    """edges (a long, b long), any direction, repeats and loops allowed -> (node, root) for every node that isn't the smallest
+    of its component, which is its root. Nulls join nothing. An empty table gives an empty table.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     e = written(e, "edges")

@@ -486,3 +486,167 @@ def test_forest_prefixes_like_brute_force():
             assert c[i, d] == sum(bits(y)[:d] == bits(x)[:d] for y in array.tolist())
     longest = lambda x, y: next((i for i, (a, b) in enumerate(zip(bits(x), bits(y))) if a != b), 62)
     assert forest.common(q[:1].repeat(8), np.tile(array, (8, 1))).tolist() == [min(longest(int(q[0]), y), 62) for y in array.tolist()]
+
+
+def test_hilbert_like_a_plain_sort(spark, odd):
+    """The whole assignment against one sort in plain Python, with many equal rows; limits hold and prune."""
+    same = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = base.unionByName(same).unionByName(odd.select("doc_id", "text", "lang", "source"))
+    table = sharding.curve_table(3)
+    step = lambda x: int(hashlib.md5((x or "").encode()).hexdigest()[0], 16)
+    rows = []
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        size, crc = len(raw) + 1, zlib.crc32(raw)
+        rows.append([r["doc_id"], size, crc, table[step(r["lang"]) << 8 | step(r["source"]) << 4 | min(15, size.bit_length() - 1)]])
+    n = len(rows)
+    held = {c: sum(r[3] == c for r in rows) for c in {r[3] for r in rows}}
+    unit = min(65536, max(1, n // 2048))
+    for r in rows:
+        salt = int(hashlib.md5(f"{'' if r[0] is None else r[0]}/{r[2]}".encode()).hexdigest()[:7], 16)
+        r.append(salt % -(-held[r[3]] // unit))
+    rows.sort(key=lambda r: (r[3], r[4], r[0] is not None, r[0] or 0, r[1], r[2]))
+    want, start = [], {}
+    for i, r in enumerate(rows):
+        shard = ((i + 1) * 8 - 1) // n
+        want.append((r[0], r[1], r[2], shard, i - start.setdefault(shard, i), r[3]))
+    placed = sharding.hilbert_shards(docs)
+    got = [tuple(r) for r in placed.select("doc_id", "size", "text_crc32", "shard", "slot", "curve").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    few = sharding.limits(placed)
+    assert sum(r["rows"] for r in few.collect()) == n
+    shards = lambda **x: {r["shard"] for r in sharding.fitting(few, **x).collect()}
+    for r, where in list(zip(docs.collect(), [None] * n))[::97]:
+        size = len((r["text"] or "").encode()) + 1
+        fit = shards(lang=r["lang"] or "", source=r["source"] or "", size=size)
+        assert {w[3] for w in want if w[0] == r["doc_id"] and w[1] == size} <= fit | ({0, 1, 2, 3, 4, 5, 6, 7} if r["doc_id"] is None else set())
+    assert len(shards(lang="en", source="s", size=10)) < 8
+
+
+def test_hilbert_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6), (1, "a", 5, 6), (2, None, 7, 8)], "doc_id long, text string, shard int, slot int").withColumn("lang", F.lit("en")).withColumn("source", F.lit(None).cast("string"))
+    got = sharding.hilbert_shards(docs, 3).collect()
+    assert sorted(r["shard"] for r in got) == [0, 1, 2] and all(r["slot"] == 0 for r in got)
+
+
+def test_components_like_brute_force(spark):
+    from tessera.llm.components import components
+
+    r = random.Random(9)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 500 + i) for i in range(30)] + [(7, None), (None, None), (9, 9), (100, 101)]
+    got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            if a in root and b in root and a != b and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                moved = True
+    assert got == {x: top for x, top in root.items() if x != top}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    lines = [f"line {i} is on very many sites" for i in range(20_000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines if i < 6 else lines[:1]) + f"\nown {i}", f"s{i}") for i in range(8)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs).collect()}
+    assert got[0]["lines_removed"] == 0 and all(got[i]["text"] == f"own {i}" for i in range(1, 8)) and got[3]["lines_removed"] == 20_000
+
+
+def test_url_rules_of_very_long_and_repeated_urls(spark):
+    long = "http://" + "a." * 50_000 + "example.org/es/" + "x/" * 50_000
+    df = spark.createDataFrame([(1, long), (2, "http://b.com/fr/"), (2, "http://b.com/fr/")], "page_id long, url string").withColumn("HOST", F.lit(1))
+    got = urlrules.judge(df).collect()
+    assert len(got) == 3 and {(r["page_id"], r["rule"], r["verdict"]) for r in got} == {(1, "example.org/es/", "block"), (2, "com/fr/", "allow")}
+
+
+def test_bpe_of_names_that_clash_and_long_words(spark):
+    from tokenizers import Tokenizer
+
+    path, r = queries.vocabulary_path(), random.Random(3)
+    texts = ["".join(r.choice("etaoinshr") for _ in range(200_000)), "z" * 100_000 + "é" * 999, "the " * 1000, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("IDS", F.lit(1)).withColumn("decoded", F.lit(2))
+    out = bpe.tokens(df, path)
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+    t = Tokenizer.from_file(path)
+    for x in out.collect():
+        assert np.frombuffer(x["ids"], "<u4").tolist() == t.encode(texts[x["doc_id"]] or "", add_special_tokens=False).ids and x["decoded"] == (texts[x["doc_id"]] or "")
+
+
+def test_bpe_refuses_other_files_and_bounds_its_tables(monkeypatch):
+    import json
+
+    with open(queries.vocabulary_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"id": 0, "content": "!", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Bpe(json.dumps(file | change))
+    whole, small = bpe.Bpe(json.dumps(file)), bpe.Bpe(json.dumps(file))
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(400)) for _ in range(30)]
+    want = whole.encode_batch(texts)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "JUDGED", 50)
+    assert [small.encode_batch([t])[0] for t in texts] == want and len(small.cache) + len(small.older) < 400
+
+
+def test_simhash_of_long_texts_in_pieces(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(n)) + "\n" * r.randrange(3) for n in (1, 3, 4, 5, 40, 900)] + ["", "  ", "x" * 200]
+    want = [simhash.fingerprint(t) for t in texts]
+    assert want == [brute_fp(t) for t in texts]
+    monkeypatch.setattr(simhash, "PIECE", 17)
+    assert [simhash.fingerprint(t) for t in texts] == want and simhash.fingerprint(None) == 0
+
+
+def test_langid_bounds_and_names_that_clash(spark):
+    docs = docs_of(spark, ["the quick brown fox", "der schnelle braune fuchs"]).withColumn("lang_pred", F.lit("mine")).withColumn("Score", F.lit(2))
+    with pytest.raises(ValueError):
+        langid.train(docs.withColumn("lang", F.col("text")), max_langs=1)
+    model = langid.Model(["de", "en"], langid.codewords(2), np.zeros((langid.BUCKETS, 1), np.float32), np.ones((2, 1)))
+    out = langid.identify(docs, model)
+    assert [c for c in out.columns if c.lower() in ("lang_pred", "score", "ambiguous")] == ["lang_pred", "score", "ambiguous"]
+    # nothing tells the languages apart: the first one, and flagged
+    assert {(r["lang_pred"], r["score"], r["ambiguous"]) for r in out.collect()} == {("de", 0.5, True)}
+
+
+def test_licenses_ties_go_to_the_first_name(spark):
+    same = [("Zed", "one two three four five"), ("Abc", "one two three four five")]
+    got = licenses.scan(docs_of(spark, ["one two three four five"]), templates=same).first()
+    assert (got["license"], got["dice"], got["licenses"]) == ("Abc", 1.0, "Abc,Zed")
+
+
+def test_decontaminate_by_size_class(spark):
+    r = random.Random(8)
+    words = lambda n: [f"v{r.randrange(10_000)}" for _ in range(n)]
+    items = [words(n) for n in (5, 6, 9, 30, 200, 1500)]
+    docs = []
+    for i, w in enumerate(items):
+        docs.append((i, " ".join(words(500) + w + words(500))))
+        damaged = list(w)
+        for at in range(0, len(w), 40 if len(w) > 100 else 10**9):
+            damaged[at] = "zz"
+        docs.append((100 + i, " ".join(words(200) + damaged + words(200))))
+        docs.append((200 + i, " ".join(words(300))))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    sh = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    assert got == {(d, i) for d, t in docs for i, w in enumerate(items) if len(sh(w) & sh(t.split())) >= 0.8 * len(sh(w))}
+    assert decontaminate.items_of(bench).select("class").distinct().count() >= 4
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
+    """Each stage on nulls, blanks, very long texts, repeated rows and clashing names, and on no rows."""
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = sorted((r["doc_id"] or 0) for r in stage(spark, odd, SF).collect())
+        assert stage(spark, none, SF).count() == 0
+    every = [0, 1, 2, 3, 4, 5, 6, 6, 7]
+    assert kept["line dedup"] == kept["benchmark decontamination"] == kept["BPE encoding and decoding"] == every
+    assert kept["SimHash near-dedup"] == [0, 1, 4, 6, 7] and set(kept["language ID"]) <= {0, 4, 5, 6}
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, SF)
+    assert last.columns == [*odd.columns, "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == 9
