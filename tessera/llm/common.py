@@ -54,11 +54,13 @@ def slices(batches: Iterator[pa.Array], size: int) -> Iterator[pa.Array]:
             yield a.slice(x, y - x)
 
 
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: it is computed once, survives lost executors, and has a known size.
 
-    The files go when the application ends (best effort).
+    files: how many at most, for tables that are small beside the shuffle partitions they come from: a file costs a task, a
+    round trip to the store and, in local ones, a process. The files go when the application ends (best effort).
     """
+    df = df.coalesce(files) if files else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

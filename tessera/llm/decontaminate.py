@@ -24,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, words_of, written
+from .common import OWN, pieces, words_of, written
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketches and items of at most so many bytes on disk are broadcast; larger ones meet the documents in a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Documents for each file of a table of those that are found.
+ROWS = 1_000_000
 
 
 def shingle_hashes(text, width: int = WIDTH):
@@ -52,7 +54,7 @@ def items_of(benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WI
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) for each pair at or above the threshold."""
-    items = written(items_of(benchmark, threshold, width), "items")
+    items = written(items_of(benchmark, threshold, width), "items", pieces(benchmark.count(), 10_000, 4))
     limits = items.select("class", F.array_max("sketch").alias("top")).groupBy("class").agg(F.max("top").alias("top")).orderBy("class").collect()  # 16 rows at most
     small = _bytes(items) <= BROADCAST_BYTES
     hint = F.broadcast if small else (lambda x: x)
@@ -61,7 +63,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     low = row.select("doc_id", F.xxhash64("text").alias("text_key"), F.length("text").alias("len"), F.inline(_below(shingle_hashes(F.col("text"), width), limits)))
     # candidates: the distinct texts that share a sketch value with some item
     hit = low.join(hint(sketch.distinct()), ["class", "h"], "left_semi").select("text_key", "len").distinct()
-    hit = written(hit, "hits")
+    files = pieces(docs.count(), ROWS, 8)
+    hit = written(hit, "hits", files)
     texts = row.withColumn("text_key", F.xxhash64("text")).withColumn("len", F.length("text"))
     on_hit = F.broadcast if _bytes(hit) <= BROADCAST_BYTES else (lambda x: x)
     found = texts.join(on_hit(hit), ["text_key", "len"], "left_semi")
@@ -94,7 +97,7 @@ def _bytes(df: DataFrame) -> int:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """docs without the rows whose text holds an item. Judged by text, so rows with null doc_id are judged too."""
     key = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
-    bad = written(contaminated(key, benchmark, threshold, width).select(F.col("doc_id").alias(f"{OWN}key")).distinct(), "contaminated")
+    bad = written(contaminated(key, benchmark, threshold, width).select(F.col("doc_id").alias(f"{OWN}key")).distinct(), "contaminated", pieces(docs.count(), ROWS, 8))
     hint = F.broadcast if _bytes(bad) <= BROADCAST_BYTES else (lambda x: x)
     return docs.join(hint(bad), F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad[f"{OWN}key"], "left_anti")
 

@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, written
+from .common import OWN, pieces, written
 
 MIN_SITES, MIN_WORDS = 5, 5
+#: Lines of the corpus for each file of a table of lines that repeat.
+LINES = 1_000_000
 #: Sketches of 2**LG_K registers; estimates this far from the threshold, as a share of it or in sites, are trusted.
 LG_K, BAND, BAND_SITES = 12, 0.15, 2
 _BLANKS = " \t\r\f\x0b"
@@ -44,8 +46,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h, c, first): the lines on at least min_sites sites, and the smallest doc_id that has them."""
     # a line on so many sites occurs at least as often: most lines occur once and need no sketch
     often = lines.where("source is not null").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h", "c")
-    often = written(lines.join(written(often, "often"), ["h", "c"]), "oftenlines")
-    spread = written(often.groupBy("h", "c").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", LG_K)).alias("sites"), F.min("doc_id").alias("first")), "spread")
+    files = pieces(lines.count(), LINES, 8)
+    often = written(lines.join(written(often, "often", files), ["h", "c"]), "oftenlines", files)
+    spread = written(often.groupBy("h", "c").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", LG_K)).alias("sites"), F.min("doc_id").alias("first")), "spread", files)
     band = max(BAND * min_sites, BAND_SITES)
     sure = spread.where(F.col("sites") > min_sites + band).select("h", "c", "first")
     near = spread.where(F.col("sites").between(min_sites - band, min_sites + band))
@@ -56,9 +59,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with boilerplate lines cut from text; the number of lines cut is added as lines_removed (long)."""
     lines = written(_lines(docs, min_words), "lines")
-    found = written(boilerplate(lines, min_sites), "boilerplate")
+    files = pieces(lines.count(), LINES, 8)
+    found = written(boilerplate(lines, min_sites), "boilerplate", files)
     cut = lines.join(found, ["h", "c"]).where("doc_id is null or first is null or doc_id <> first")
-    cut = written(cut.groupBy("row").agg(F.collect_set("pos").alias(f"{OWN}cut")).withColumnRenamed("row", f"{OWN}row"), "cut")
+    cut = written(cut.groupBy("row").agg(F.collect_set("pos").alias(f"{OWN}cut")).withColumnRenamed("row", f"{OWN}row"), "cut", files)
     # a merge join at every size: the documents that lose lines grow with the corpus, so they are never broadcast
     out = docs.withColumn(f"{OWN}key", _rowkey()).join(cut.hint("merge"), F.col(f"{OWN}key") == F.col(f"{OWN}row"), "left")
     # the positions that stay, by a hash set, and then their lines: linear in the text's lines, however many are cut

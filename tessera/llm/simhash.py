@@ -160,7 +160,7 @@ def links(reps: DataFrame, n: int, radius: int = 4) -> DataFrame:
         .agg(F.collect_list(F.struct("fp", "node")).alias("rows"))
         .select("ones", "sub", F.col("rows.fp").alias("fps"), F.col("rows.node").alias("nodes"))
     )
-    tiles = written(tiles, "tiles")
+    tiles = written(tiles, "tiles", pieces(n, TILE, 12))
     # each tile of the class once for each class within the radius above it: tiles meet tiles, not rows rows
     left = tiles.select(F.col("ones").alias("a_ones"), F.col("sub").alias("a_sub"), F.explode(F.sequence(F.col("ones"), F.col("ones") + radius)).alias("meets"))
     right = tiles.select(F.col("ones").alias("meets"), F.col("sub").alias("b_sub"))
@@ -189,7 +189,7 @@ def links(reps: DataFrame, n: int, radius: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id reachable over links."""
     fps = written(fingerprints(docs, width, id_col, text_col), "fp")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "reps")
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "reps", pieces(fps.count(), 1_000_000, 8))
     n = reps.count()
     own = reps.select("node", F.col("node").alias("other"), "fp")
     edges = links(reps, n, radius)
