@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+#: A claim on a file is held for one read and one write; one that is older was left by a writer that died.
+CLAIM_SECONDS = 60
+_HERE = threading.Lock()
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -38,6 +46,39 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(p, _fs(spark, path)[1], options)
 
 
+def _claimed(fs, claim) -> bool:
+    """Whether this writer made the claim file, which only one can."""
+    try:
+        fs.create(claim, False).close()
+        return True
+    except Py4JJavaError as e:
+        if not re.search("AlreadyExists|AlreadyBeingCreated", str(e.java_exception)):
+            raise
+    for f in fs.globStatus(claim) or []:  # none, if it has been given up by now
+        if time.time() - f.getModificationTime() / 1000 > CLAIM_SECONDS:
+            fs.delete(claim, False)
+    return False
+
+
+def swap(spark: SparkSession, path: str, text: str, unchanged: Callable[[str | None], bool]) -> bool:
+    """Write the file if its text is still as the writer knows it, and tell whether it was: check and write are one step.
+
+    Writers exclude each other by a claim file, which the store makes only where there is none; threads of one process
+    by a lock, as a local file system looks and makes in two steps.
+    """
+    fs, claim = _fs(spark, f"{path}.claim")
+    with _HERE:
+        while not _claimed(fs, claim):
+            time.sleep(0.02)
+        try:
+            if not unchanged(read_text(spark, path)):
+                return False
+            write_text(spark, path, text)
+            return True
+        finally:
+            fs.delete(claim, False)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

@@ -1,4 +1,7 @@
 import datetime as dt
+import os
+import time
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pytest
@@ -8,7 +11,7 @@ from tessera import errors
 from tessera.__main__ import run
 from tessera.engine import Engine
 from tessera.plans import access
-from tessera.sources import dump, pgcopy
+from tessera.sources import dump, pgcopy, store
 
 
 @pytest.fixture
@@ -109,6 +112,51 @@ def test_conflict(db, spark):
     assert rows(other.table("t")) == [(2,), (3,)]
 
 
+def test_writers_at_the_same_time(db, spark):
+    """Each of many writers either has its rows in the table or is told of a conflict."""
+    db.sql("CREATE TABLE t (id INTEGER)")
+
+    def write(i):
+        other = Engine(spark, db.root)
+        for n in range(3):
+            try:
+                other.sql(f"INSERT INTO t VALUES ({10 * i + n})")
+                yield 10 * i + n
+            except errors.ConcurrentWrite:
+                pass
+
+    with ThreadPoolExecutor(6) as pool:
+        written = [n for done in pool.map(lambda i: list(write(i)), range(6)) for n in done]
+    assert written and rows(db.table("t")) == [(n,) for n in sorted(written)]
+
+    def name(i):
+        try:
+            Engine(spark, db.root).sql(f"CREATE ROLE r{i}")
+            return f"r{i}"
+        except errors.ConcurrentWrite:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        made = [r for r in pool.map(name, range(6)) if r]
+    assert made and sorted(db._security()["roles"]) == sorted(made)
+
+
+def test_swap(spark, tmp_path):
+    at, claim = f"file://{tmp_path}/x.json", tmp_path / "x.json.claim"
+    assert store.swap(spark, at, "a", lambda t: t is None) and store.read_text(spark, at) == "a"
+    assert not store.swap(spark, at, "b", lambda t: t is None) and store.read_text(spark, at) == "a"
+    claim.write_text("")
+    with ThreadPoolExecutor(1) as pool:  # waits for one who holds the claim
+        waiting = pool.submit(store.swap, spark, at, "c", lambda t: t == "a")
+        time.sleep(0.5)
+        assert not waiting.done() and store.read_text(spark, at) == "a"
+        claim.unlink()
+        assert waiting.result(20) and store.read_text(spark, at) == "c"
+    claim.write_text("")
+    os.utime(claim, (1, time.time() - 2 * store.CLAIM_SECONDS))  # one left by a writer that died
+    assert store.swap(spark, at, "d", lambda t: t == "c") and store.read_text(spark, at) == "d" and not claim.exists()
+
+
 def test_security(db, spark):
     db.sql("CREATE TABLE t (id INTEGER)")
     db.sql("INSERT INTO t VALUES (1)")
