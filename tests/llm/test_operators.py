@@ -562,6 +562,27 @@ def test_url_rules_of_very_long_and_repeated_urls(spark):
     assert len(got) == 3 and {(r["page_id"], r["rule"], r["verdict"]) for r in got} == {(1, "example.org/es/", "block"), (2, "com/fr/", "allow")}
 
 
+def test_url_rules_in_several_tries(spark, monkeypatch):
+    """Many rules are walked in passes of one bounded trie each, with the results of one trie; held against a plain search too."""
+    r = random.Random(8)
+    hosts = ["org", "example.org", "a.example.org", "com", "b.com", "", "net"]
+    paths = ["", "/", "/a", "/a/", "/a/b", "/ab/", "/a/b/c"]
+    rules = [(r.choice(["allow", "block"]), h, p) for h in hosts for p in paths if r.random() < 0.7]
+    rules += [("block", "org", "/a"), ("allow", "org", "/a")]
+    urls = [f"http://{r.choice(['x.', ''])}{h}{p}{r.choice(['', 'b', '/c'])}" for h in hosts[:-1] for p in paths] + [None, "http://none.example/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    answer = lambda: [tuple(x) for x in urlrules.judge(df, rules, "block").orderBy("page_id").collect()]
+    one = answer()
+    monkeypatch.setattr(urlrules, "TRIE_CHARS", 60)
+    assert len(list(urlrules.tries_of(rules))) > 3 and [x for some in urlrules.tries_of(rules) for x in some] == rules
+    assert answer() == one
+    for _, host, path, rule, verdict in one:
+        fit = [(len(h.split(".")) if h else 0, len(p), v == "block", h + p) for v, h, p in rules if (not h or host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=None)
+        assert (rule, verdict) == ((best[3], "block" if best[2] else "allow") if best else (None, "block"))
+    assert urlrules.judge(df, []).where("rule is not null or verdict <> 'allow'").count() == 0
+
+
 def test_bpe_of_names_that_clash_and_long_words(spark):
     from tokenizers import Tokenizer
 
