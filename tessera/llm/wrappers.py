@@ -12,13 +12,16 @@ articles, and this tells nothing); a slot of links is a menu. What is left is te
 from page to page, and the article is where most of it is. A group named as an article or content is taken if it holds at least
 SHARE of that text, so names only choose among groups that the slots bear out; a group named as boilerplate that holds nearly
 all of it isn't boilerplate; with no such name, the lowest group of parts that holds most of it is taken. A host of fewer than
-ENOUGH differing pages can't show what repeats: there, names weigh more. Extraction reads each page's slots under all groups of
+ENOUGH differing pages can't show what repeats: there, names weigh more, and where nearly all text is the same, it is no template's. Extraction reads each page's slots under all groups of
 the best kind that the page has, and the headline and texts around them in a main or content group.
 
 Wrappers are folded on the map side and merged by host as a tree, at most FAN wrappers a task, so a host with a third of all
-pages is never one task's work. A node keeps at most WIDE parts, those with most text, and levels below DEEP count as one: this
-bounds a wrapper, not the text that is read. Pages meet their host's decisions in a join whose large side AQE can split; the
-decisions are broadcast only where Spark finds them under its threshold.
+pages is never one task's work. No part is dropped: a node of more than WIDE parts holds them by label instead of in page order,
+parts of one label merged, as decisions speak of paths of labels and never of places. So a host's wrapper has as many parts as
+the host has paths of labels, and one task holds that; levels below DEEP count as one. Pages meet their host's decisions in a
+join whose large side AQE can split; the decisions are broadcast only where Spark finds them under its threshold. Where a host's
+decisions are longer than KEPT, its pages don't carry them: they are dealt out by path, and pages of one set of paths get those that
+speak of these.
 
 Text: scripts, styles and markup go; character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined in page order by one space. Nothing is dropped or capped besides boilerplate groups.
@@ -44,11 +47,15 @@ from pyspark.sql import functions as F
 
 from .common import lean_batches, written
 
-#: Levels of nesting and parts of a node that a wrapper tells apart; wrappers that one task merges; hosts that one task holds.
-DEEP, WIDE, FAN, HOLD = 200, 400, 16, 500
+#: Levels of nesting that a wrapper tells apart; parts of a node from which on they are held by label, not in page order; wrappers
+#: that one task merges; hosts and, in all their wrappers, parts that one task folds before it hands them on.
+DEEP, WIDE, FAN, HOLD, HELD = 200, 400, 16, 500, 100_000
+#: Characters of a host's decisions that each of its pages carries; longer ones are dealt out by path.
+KEPT = 1 << 16
 #: Differing pages from which on a host shows what repeats; share of the changing text that bears a name out; distinct texts in a sketch.
 ENOUGH, SHARE, SKETCH = 4, 0.5, 32
-#: Pairs of parts up to which two lists of parts are aligned by longest common subsequence; longer ones greedily.
+#: Pairs of parts up to which two lists of parts are aligned by longest common subsequence; longer ones greedily. Lists
+#: of up to WIDE parts, as nodes have them, are never longer.
 ALIGN = 250_000
 
 # HTML's elements without content, with raw content, and inside a line.
@@ -146,6 +153,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
 
 # A wrapper is [label, optional, repeated, children, slot]; a slot is None or [pages, characters, link characters, text, times,
 # sketch], where the sketch is the SKETCH smallest CRC32 of its texts. The root has one item more: a slot of the whole pages.
+# Children are a list in page order or, where there are more than WIDE, a dict by label.
 
 
 def page_wrapper(page: str) -> list:
@@ -173,7 +181,7 @@ def page_wrapper(page: str) -> list:
 def _slot(a: list | None, b: list | None, same_page: bool = False) -> list | None:
     if a is None or b is None:
         return a or b
-    return [a[0] + (0 if same_page else b[0]), a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], sorted({*a[5], *b[5]})[:SKETCH]]
+    return [max(a[0], b[0]) if same_page else a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] if a[3] == b[3] else None, a[4] + b[4], sorted({*a[5], *b[5]})[:SKETCH]]
 
 
 def _distinct(slot: list) -> float:
@@ -189,7 +197,7 @@ def _fold(node: list) -> list:
         order.append(x)
         todo += x[3]
     for x in reversed(order):
-        x[3] = _squares(x[3])
+        x[3] = _by_label(_squares(x[3]))
     return node
 
 
@@ -252,8 +260,9 @@ def _matched(xs: list[str], ys: list[str]) -> Iterator[tuple[int, int]]:
 def align(a: list, b: list, same_page: bool = False) -> list:
     """Merge two parts of one label: matching children merge, the others become optional."""
     xs, ys = a[3], b[3]
-    lx, ly = [x[0] for x in xs], [y[0] for y in ys]
-    if lx == ly:
+    if isinstance(xs, dict) or isinstance(ys, dict):
+        children = _union(_labelled(xs), _labelled(ys), same_page)
+    elif (lx := [x[0] for x in xs]) == (ly := [y[0] for y in ys]):
         children = [align(x, y, same_page) for x, y in zip(xs, ys)]
     else:
         children, i, j = [], 0, 0
@@ -262,32 +271,55 @@ def align(a: list, b: list, same_page: bool = False) -> list:
             if k < len(xs):
                 children.append(align(xs[k], ys[h], same_page))
             i, j = k + 1, h + 1
-        children = _widest(_squares(children))
+        children = _by_label(_squares(children))
     whole = [_slot(a[5], b[5])] if len(a) > 5 and len(b) > 5 else []
     return [a[0], a[1] or b[1], a[2] or b[2], children, _slot(a[4], b[4], same_page), *whole]
 
 
-def _widest(parts: list) -> list:
-    """At most WIDE parts: those with most text, in their order."""
-    if len(parts) <= WIDE:
+def _by_label(parts: list) -> list | dict:
+    """More than WIDE parts by label; fewer as they are."""
+    return parts if len(parts) <= WIDE else _labelled(parts)
+
+
+def _labelled(parts: list | dict) -> dict:
+    """All parts by label, each of them optional: those of one label are one repeated group, wherever they stand."""
+    if isinstance(parts, dict):
         return parts
-    size = [_characters(p) for p in parts]
-    kept = set(sorted(range(len(parts)), key=lambda i: -size[i])[:WIDE])
-    return [p for i, p in enumerate(parts) if i in kept]
+    out: dict[str, list] = {}
+    for p in parts:
+        x = [p[0], True, *p[2:]]
+        if p[0] in out:
+            x = align(out[p[0]], x, same_page=True)
+            x[2] = True
+        out[p[0]] = x
+    return out
+
 
+def _union(xs: dict, ys: dict, same_page: bool) -> dict:
+    """The parts of both, in the larger dict: a page's few parts cost no walk over its host's many."""
+    big, small = (ys, xs) if len(ys) > len(xs) else (xs, ys)
+    for name, y in small.items():
+        big[name] = align(big[name], y, same_page) if name in big else y
+    return big
 
-def _characters(node: list) -> int:
-    total, todo = 0, [node]
+
+def _parts(node: list) -> list:
+    return list(node[3].values()) if isinstance(node[3], dict) else node[3]
+
+
+def _size(node: list) -> int:
+    """How many parts a wrapper has."""
+    n, todo = 0, [node]
     while todo:
-        x = todo.pop()
-        total += x[4][1] if x[4] else 0
-        todo += x[3]
-    return total
+        children = _parts(todo.pop())
+        n += len(children)
+        todo += children
+    return n
 
 
 def expression(node: list) -> str:
     """The wrapper as a union-free regular expression."""
-    inner = ("#text" if node[4] else "") + " ".join(map(expression, node[3]))
+    inner = ("#text" if node[4] else "") + " ".join(map(expression, _parts(node)))
     body = f"<{node[0]}>{inner}</{node[0].split('.')[0]}>" if node[0] else inner
     return f"({body})" + ("*" if node[1] and node[2] else "+" if node[2] else "?") if node[1] or node[2] else body
 
@@ -318,7 +350,8 @@ def decide(wrapper: list) -> list[list[str]]:
     tree: list[dict] = []
     todo = [(wrapper, "", -1)]
     while todo:
-        (name, _, repeated, children, slot, *_), above, parent = todo.pop()
+        node, above, parent = todo.pop()
+        (name, _, repeated, _, slot, *_), children = node, _parts(node)
         links = bool(slot) and slot[2] * 2 >= slot[1]
         again = shown and bool(slot) and slot[4] >= ENOUGH and _distinct(slot) < 0.5 * differ * slot[4]
         once = bool(slot) and (slot[3] is None or slot[0] == 1)
@@ -326,8 +359,11 @@ def decide(wrapper: list) -> list[list[str]]:
         tree.append({"name": name, "path": path, "parent": parent, "repeated": repeated, "group": bool(children) and not repeated, "slot": slot, "links": links, "again": again, "once": once})
         todo += [(c, path, len(tree) - 1) for c in children]
     texts = [x for x in tree if x["slot"] and not x["links"]]
-    same = sum(x["slot"][1] for x in texts if not x["once"])
-    shown = shown and same <= sum(x["slot"][1] for x in texts if x["once"])  # else the host has one article, again and again
+    same, fresh = (sum(x["slot"][1] for x in texts if x["once"] == once) for once in (False, True))
+    if not shown and same > 9 * fresh:  # a few copies of a page: what is added to one isn't the article
+        for x in texts:
+            x["once"] = True
+    shown = shown and same <= fresh  # else the host has one article, again and again
     plain = lambda again: sum(x["slot"][1] for x in texts if x["once"] and x["again"] == again)
     if not shown or plain(True) > plain(False):  # what comes again is most of the text: the host copies its articles, and this tells nothing
         for x in tree:
@@ -370,22 +406,32 @@ def decide(wrapper: list) -> list[list[str]]:
         state[i], place[i] = (inside, clean, depth + 1), len(nodes)
         nodes.append((path, place[x["parent"]], x["group"], x["mass"]))
     named = [p for _, _, p in sorted(roots)]
-    own = {p for p in named if not any(p.startswith(f"{q}/") for q in named if q != p and named.index(q) < named.index(p))}
+    first = {p: i for i, p in reversed([*enumerate(named)])}
+    own = [p for p in dict.fromkeys(named) if not any(first.get(q, len(named)) < first[p] for q in _above(p))]
+    kinds = {(k, p) for k, _, p in roots}
     out = []
     clean_text = sum(m for *_, m in nodes)
     dropped = [p for p in fixed if shown]
     for k in sorted({k for k, _, _ in roots}):
-        groups = [p for p in dict.fromkeys(named) if p in own and any(p == q and i == k for i, _, q in roots)]
+        groups = [p for p in own if (k, p) in kinds]
         if shown and k < len(ROOTS) and sum(share[p] for p in groups) < SHARE * clean_text:
             continue  # the slots don't bear the name out
-        wide = [q for i, _, q in roots if k < len(ROOTS) and i < len(ROOTS) and _encloses(q.rpartition("/")[2]) and any(p.startswith(f"{q}/") for p in groups)]
+        over = {q for p in groups for q in _above(p)} if k < len(ROOTS) else set()
+        wide = {q for i, _, q in roots if i < len(ROOTS) and q in over and _encloses(q.rpartition("/")[2])}
         if groups:
-            out.append(groups + [f"{t} +" for t in dict.fromkeys(around) if any(f"{t}/".startswith(f"{q}/") for q in wide) and not any(f"{t}/".startswith(f"{p}/") for p in groups)] + dropped + cleared)
-    if not any(k < len(ROOTS) for k, _, p in roots for kind in out if p in kind):
+            held = set(groups)
+            out.append(groups + [f"{t} +" for t in dict.fromkeys(around) if not wide.isdisjoint([t, *_above(t)]) and held.isdisjoint([t, *_above(t)])] + dropped + cleared)
+    taken = {p for kind in out for p in kind}
+    if not any(k < len(ROOTS) and p in taken for k, _, p in roots):
         out.insert(0, [_centre(nodes), *fixed, *cleared])
     return out
 
 
+def _above(path: str) -> list[str]:
+    """The paths above this one, but for the root's."""
+    return [path[: m.start()] for m in re.finditer("/", path)]
+
+
 def _encloses(name: str) -> bool:
     """Whether a group of this label may hold an article together with its headline: html and body hold the whole page."""
     return name.split(".")[0] not in ("html", "body")
@@ -414,11 +460,11 @@ def text_of(page: str | None, groups: list[list[str]] | None) -> str:
             fixed = {p[:-1] for p in paths if p.endswith("!")}
             more = {p[:-2] for p in paths if p.endswith(" +")}
             clear = {p[:-2] for p in paths if p.endswith(" ~")}
-            kind = [p for p in paths if not p.endswith(("!", " +", " ~"))]
+            kind = {p for p in paths if not p.endswith(("!", " +", " ~"))}
             under: dict[str, bool] = {}
             for path, _, _ in found:
                 if path not in under:
-                    under[path] = path not in fixed and any(_holds(k, path, clear) for k in kind)
+                    under[path] = path not in fixed and any(_holds(k, path, clear) for k in dict.fromkeys(["", *_above(path), path]) if k in kind)
             if any(under.values()):
                 return " ".join(text for path, text, _ in found if under[path] or path in more)
     return ""
@@ -451,16 +497,23 @@ def _merge_all(parts: Iterator[str]) -> list | None:
 def infer(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) for every host."""
     lean_batches(pages.sparkSession)
+    most_parts = HELD
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
+        parts = 0
         for b in batches:
             for host, page in zip(b["host"], b["html"]):
                 w = page_wrapper(page)
+                parts += _size(w)
                 held[host] = align(held[host], w) if host in held else w
-                if len(held) > HOLD:
+                full = len(held) > HOLD
+                if parts > most_parts:  # as many as in the pages; what is held may be far less
+                    parts = sum(map(_size, held.values()))
+                    full = full or parts * 2 > most_parts
+                if full:
                     yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
-                    held = {}
+                    held, parts = {}, 0
         if held:
             yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(w) for w in held.values()]})
 
@@ -476,6 +529,30 @@ def infer(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(meet, "host string, wrapper string")
 
 
+def _dealt_out(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """rows of the hosts in chosen, each with those of its host's decisions that speak of its paths; the others can't tell on it."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for host, groups in zip(b["host"], b["groups"]):
+                for kind, paths in enumerate(json.loads(groups)):
+                    for at in range(0, len(paths), 10_000):
+                        some = paths[at : at + 10_000]
+                        yield pd.DataFrame({"host": host, "kind": kind, "entry": some, "path": [p[:-1] if p.endswith("!") else p[:-2] if p.endswith((" +", " ~")) else p for p in some]})
+
+    @F.pandas_udf("array<string>")
+    def paths(s: pd.Series) -> pd.Series:
+        return s.map(lambda page: sorted({q for path in {p for p, _, _ in blocks(page or "")} for q in ("", *_above(path), path)}))
+
+    rows = rows.join(chosen.select("host"), "host", "left_semi").withColumn("paths", paths("html"))
+    rows = rows.withColumn("shape", F.sha2(F.concat_ws("\n", "paths"), 256))
+    need = rows.select("host", "shape", "paths").dropDuplicates(["host", "shape"]).select("host", "shape", F.explode("paths").alias("path"))
+    told = need.join(chosen.mapInPandas(entries, "host string, kind int, entry string, path string"), ["host", "path"])
+    kinds = told.groupBy("host", "shape", "kind").agg(F.collect_list("entry").alias("entries"))
+    groups = kinds.groupBy("host", "shape").agg(F.to_json(F.sort_array(F.collect_list(F.struct("kind", "entries")))["entries"]).alias("groups"))
+    return rows.join(groups, ["host", "shape"], "left").select("page_id", "url", "html", "groups")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
 
@@ -485,6 +562,12 @@ def extract(pages: DataFrame) -> DataFrame:
 
     chosen = written(infer(pages).select(F.col("host"), groups("wrapper").alias("groups")), "wrappers")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"))
+    long = chosen.where(F.length("groups") > KEPT)
+    if long.isEmpty():
+        rows = rows.join(chosen, "host", "left").select("page_id", "url", "html", "groups")
+    else:
+        few = rows.join(long.select("host"), "host", "left_anti").join(chosen.where(F.length("groups") <= KEPT), "host", "left")
+        rows = few.select("page_id", "url", "html", "groups").unionByName(_dealt_out(rows, long))
 
     @F.pandas_udf("string")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -497,5 +580,5 @@ def extract(pages: DataFrame) -> DataFrame:
                 out.append(text_of(page, known[g]))
             yield pd.Series(out, dtype=object)
 
-    out = rows.join(chosen, "host", "left").select("page_id", "url", F.coalesce(read("html", "groups"), F.lit("")).alias("text"))
+    out = rows.select("page_id", "url", F.coalesce(read("html", "groups"), F.lit("")).alias("text"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -411,6 +411,62 @@ def test_wrappers_of_deep_wide_and_repeated_pages(spark):
     assert by[5] == by[4] + " end" and by[6] == " ".join(["word and word"] * 50_000)
 
 
+def _name(i):
+    return "n" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+
+def _many_labels(pages, parts, host="wide"):
+    """Pages whose parts bear a label of their own each, with a short text of the template that repeats among them, and their texts."""
+    r, made, want = random.Random(25), [], {}
+    for i in range(pages):
+        texts = [_prose(r, 20) for _ in range(parts)]
+        inner = "".join(f"<div class={_name(i * parts + k)}><p>{t}</p></div>" for k, t in enumerate(texts))
+        made.append((i, f"http://{host}.org/{i}", f"<body><article class='post {_name(i)}'><h1>title {_prose(r, 3)}</h1></article><div class=content>{inner}<div class=zz><p>Tell us</p></div></div></body>"))
+        want[i] = " ".join(texts)
+    return made, want
+
+
+def test_wrappers_drop_no_parts():
+    """A template's short text stands among more than WIDE parts with more text, on all pages and within each."""
+    for pages, parts in ((12, 60), (6, 500), (500, 1)):
+        made, want = _many_labels(pages, parts)
+        held = None
+        for _, _, page in made:
+            w = wrappers.page_wrapper(page)
+            held = w if held is None else wrappers.align(held, w)
+        groups = wrappers.decide(held)
+        assert [wrappers.text_of(page, groups) for _, _, page in made] == [want[i] for i, _, _ in made]
+        assert wrappers._size(held) >= 2 * pages * parts  # the labels' and their paragraphs'
+
+
+def test_wrappers_deal_out_long_decisions(spark):
+    """Hosts whose decisions are long go by path, beside others; each page as by its host's whole decisions, repeated and empty ones too."""
+    made, want = _many_labels(300, 2)
+    for i in range(500):
+        made.append((1000 + i, f"http://names.org/{i}", f"<body><main><h1>title {_name(i)}</h1><article class=post-{_name(i)}><p>{'text ' * i}of {i}</p></article><div class=x><p>Call us today</p></div></main></body>"))
+        want[1000 + i] = f"title {_name(i)} {'text ' * i}of {i}"
+    for i in range(1, 9):
+        made.append((2000 + i, f"http://small.org/{i}", f"<body><article><p>{'text ' * i}of {i}</p></article><footer>f</footer></body>"))
+        want[2000 + i] = f"{'text ' * i}of {i}"
+    made += [(3000, "http://names.org/none", None), (3001, "http://names.org/empty", ""), (3002, "http://names.org/other", "<p>other text</p>")]
+    want |= {3000: "", 3001: "", 3002: "other text"}
+    df = spark.createDataFrame([*made, made[400]], "page_id long, url string, html string")
+    kept, held = wrappers.KEPT, wrappers.HELD
+    whole = _extracted(spark, made)
+    try:
+        wrappers.KEPT, wrappers.HELD = 1000, 500
+        got = [(r["page_id"], r["text"]) for r in wrappers.extract(df).collect()]
+    finally:
+        wrappers.KEPT, wrappers.HELD = kept, held
+    held = None
+    for _, url, page in made:
+        if "names.org" in url and page:
+            held = wrappers.page_wrapper(page) if held is None else wrappers.align(held, wrappers.page_wrapper(page))
+    groups = wrappers.decide(held)
+    assert len(str(groups)) > 1000 and [wrappers.text_of(page, groups) for i, url, page in made if "names.org" in url] == [want[i] for i, url, _ in made if "names.org" in url]
+    assert len(got) == len(made) + 1 and dict(got) == whole == want
+
+
 def test_wrappers_match_parts_like_brute_force():
     r = random.Random(24)
     for _ in range(300):
