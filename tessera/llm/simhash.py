@@ -205,11 +205,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, id_col: st
 def keep_one(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """The rows of docs without those that have a near duplicate with a smaller doc_id in their component.
 
-    Of several rows with one doc_id, one stays. Rows with null doc_id all stay: they can't be told apart by id.
+    Of several rows with one doc_id, one stays. Rows with null doc_id all stay: they can't be told apart by id. The rows that go
+    are few beside those that stay, so the texts meet a small table: they aren't shuffled where Spark finds it under its threshold.
     """
-    found = written(near_duplicates(docs, radius, width).where("doc_id is not null"), "groups")
-    keep = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(f"{OWN}id")).agg(F.count(F.lit(1)).alias(f"{OWN}n"))
-    out = docs.join(keep.select(f"{OWN}id"), docs["doc_id"] == F.col(f"{OWN}id"), "left_semi")
-    if not keep.where(F.col(f"{OWN}n") > 1).isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, radius, width).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("n"))
+    found = written(found.where("root <> doc_id or n > 1"), "copies")
+    drop = found.where("root <> doc_id").select(F.col("doc_id").alias(f"{OWN}id"))
+    out = docs.join(drop, docs["doc_id"] == F.col(f"{OWN}id"), "left_anti")
+    if found.where("root = doc_id").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

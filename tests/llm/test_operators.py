@@ -82,6 +82,18 @@ def test_simhash_odd(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_leaves_the_texts_where_they_are(spark):
+    """One file for each of the input's partitions, without an exchange or a second pass for null ids; repeated rows are still told."""
+    r = random.Random(26)
+    texts = [" ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(40)) for _ in range(60)]
+    docs = docs_of(spark, [*texts, *texts[:20]]).unionByName(spark.createDataFrame([(None, texts[0], "en", "s", 1)] * 2, DOCS)).repartition(5)
+    out = simhash.keep_one(docs)
+    assert sorted(x["doc_id"] if x["doc_id"] is not None else -1 for x in out.collect()) == [-1, -1, *range(60)]
+    assert out.rdd.getNumPartitions() == 5
+    again = simhash.keep_one(docs.unionByName(docs))
+    assert sorted(x["doc_id"] if x["doc_id"] is not None else -1 for x in again.collect()) == [-1] * 4 + [*range(60)]
+
+
 def test_forest_recall(spark):
     rows = duckdb.connect().execute(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
