@@ -402,6 +402,18 @@ def test_conditions_of_writes_follow_compat(nulls, compat, left):
     assert sorted(map(tuple, db.sql("SELECT k FROM a").collect()), key=str) == sorted(left, key=str)
 
 
+def test_not_in_of_a_query(nulls):
+    db = nulls(False)
+    db.sql("CREATE VIEW v AS SELECT x FROM b WHERE x NOT IN (SELECT k FROM a WHERE k > 1)")
+    db.sql("CREATE VIEW one AS SELECT x FROM b WHERE x IS NOT NULL ORDER BY x LIMIT 1")
+    assert rows(db.sql("SELECT k FROM a WHERE k NOT IN (SELECT x FROM v)")) == rows(db.sql("SELECT k FROM a WHERE k NOT IN (SELECT x FROM one)")) == [(2,)]
+    assert db.sql("SELECT k, k NOT IN (SELECT x FROM b) AS c FROM a WHERE s != 'x_y'").where("k is null and c is null").count() == 1
+    assert db.sql("UPDATE a SET s = 'seen' WHERE k NOT IN (SELECT x FROM b)") == "UPDATE 0"
+    assert db.sql("UPDATE a SET s = 'seen' WHERE NOT k IN (SELECT x FROM b WHERE x = 1)") == "UPDATE 1"
+    assert db.sql("DELETE FROM a WHERE k NOT IN (SELECT x FROM b WHERE x = k)") == "DELETE 2"
+    assert rows(db.sql("SELECT k FROM a")) == [(1,)]
+
+
 def test_names_reach_only_what_the_user_may_read(db, spark):
     db.sql("CREATE TABLE secret (id INTEGER)")
     db.sql("INSERT INTO secret VALUES (1)")
